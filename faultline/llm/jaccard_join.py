@@ -1,9 +1,15 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Shingles stand in one global order. Two sets with overlap t share at least l tokens among the first
-n - t + l of each, for every l. Each document picks its own l by the estimated cost of its candidates: a
+Shingles stand in one global order, rarest first. Two sets with overlap t share at least l tokens among the
+first n - t + l of each, for every l. Each document picks its own l by the estimated cost of its candidates: a
 longer prefix demands more shared tokens before a pair is verified. Classes of equal sets count once.
-Links are reported as components; what a component already joins is not enumerated again.
+
+Counting all shingles would move the whole corpus, so the first order ranks a fixed part of the hash space,
+which prefixes seldom leave. Documents whose prefix still holds a frequent token (large groups of near copies,
+mostly boilerplate) are dense. A pair with a document that isn't dense shares rare tokens only and is found from
+short posting lists. Pairs of two dense documents are found in a second order that counts all their shingles;
+there each list is first held against its most central document, and only what that leaves in different
+components is joined pair by pair.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ class Jaccard:
     most_l: int = 6
     #: Cost of verifying one candidate against that of one step through a posting list.
     verify_cost: float = 8.0
+    #: Tokens in more documents are frequent.
+    frequent: int = 8
     #: Up to so many ids a side is broadcast (8 bytes each); above, it is joined by shuffle.
     broadcast_ids: int = 500_000
 
@@ -39,17 +47,23 @@ class Jaccard:
         """The overlap that a set of n shingles needs with any partner."""
         return (self.num * n + self.den - 1) // self.den
 
+    def overlap(self, a, b):
+        """The overlap that sets of a and b shingles need with each other, before rounding down."""
+        return ((a + b) * self.num + self.num + self.den - 1) / (self.num + self.den)
+
     @property
     def low(self) -> int:
         """Tokens below this hash come first in the global order, rarest first; they are somewhat more than a prefix needs."""
         return int(min(1.0, 1 - self.num / self.den + 0.05) * 2**63)
 
 
-def shingle_table(docs: DataFrame, cfg: Jaccard) -> DataFrame:
+def shingle_table(docs: DataFrame, cfg: Jaccard, every: bool = False) -> DataFrame:
     """(doc_id, n, fa, fb, low, tokens): set size, 126-bit fingerprint, and the tokens that can stand in a prefix, in hash order.
 
-    ``low`` of the tokens have a hash below ``cfg.low``; others follow only where those don't fill the longest prefix.
+    ``low`` of the tokens have a hash below ``cfg.low``; others follow only where those don't fill the longest
+    prefix. With ``every``, all tokens are there and rank alike.
     """
+    bound = 2**63 if every else cfg.low
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,7 +74,7 @@ def shingle_table(docs: DataFrame, cfg: Jaccard) -> DataFrame:
                     n.append(len(h))
                     fa.append(int(mix(s).sum() >> U64(1)))
                     fb.append(int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum() >> U64(1)))
-                    low.append(int(np.searchsorted(h, U64(cfg.low))))
+                    low.append(int(np.searchsorted(h, U64(bound))))
                     tokens.append(int_bits(h[: max(low[-1], min(len(h), len(h) - cfg.least(len(h)) + cfg.most_l))]))
             for i in range(0, len(n), 1000):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1000), *(pa.array(x[i : i + 1000], pa.int64()) for x in (n, fa, fb, low)), lists(tokens[i : i + 1000], pa.int64())], ["doc_id", "n", "fa", "fb", "low", "tokens"])
@@ -69,7 +83,11 @@ def shingle_table(docs: DataFrame, cfg: Jaccard) -> DataFrame:
 
 
 def adaptive_prefixes(shared: DataFrame, cfg: Jaccard) -> DataFrame:
-    """(token, doc_id, n, l) from rows (doc_id, n, low, tokens) of structs (at, df, token): each document's chosen prefix."""
+    """(token, doc_id, n, l, at, df, alone, dense) from rows (doc_id, n, low, tokens) of structs (at, df, token).
+
+    ``at`` is the token's place in the document's order, ``alone`` the number of ranked tokens that no other
+    document has, ``dense`` whether the chosen prefix holds a frequent token.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +103,8 @@ def adaptive_prefixes(shared: DataFrame, cfg: Jaccard) -> DataFrame:
                 head = a < low
                 early = np.lexsort((t[head], d[head]))
                 t, a, d = (np.concatenate([x[head][early], x[~head]]) for x in (t, a, d))
-                place = np.concatenate([low - head.sum() + np.arange(head.sum()), a[head.sum() :]])
+                alone = low - int(head.sum())
+                place = np.concatenate([alone + np.arange(low - alone), a[low - alone :]])
                 least, best = cfg.least(n), None
                 for length in range(1, min(cfg.most_l, least) + 1):
                     m = int(np.searchsorted(place, n - least + length))
@@ -94,16 +113,37 @@ def adaptive_prefixes(shared: DataFrame, cfg: Jaccard) -> DataFrame:
                     if best is None or cost < best[0]:
                         best = cost, length, m
                 _, length, m = best
-                out.append((t[:m], ids[k], n, length))
+                out.append((t[:m], place[:m], d[:m], ids[k], n, length, alone, int((d[:m] > cfg.frequent).any())))
             if out:
                 size = [len(x[0]) for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]), pa.int64()), *(pa.array(np.repeat([x[i] for x in out], size), pa.int64()) for i in (1, 2, 3))], ["token", "doc_id", "n", "l"])
+                cols = [np.repeat([x[i] for x in out], size) for i in range(3, 8)]
+                token_, place_, df_ = (np.concatenate([x[i] for x in out]) for i in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (token_, *cols[:3], place_, df_, *cols[3:])], ["token", "doc_id", "n", "l", "at", "df", "alone", "dense"])
 
-    return shared.mapInArrow(run, "token long, doc_id long, n long, l long")
+    return shared.mapInArrow(run, "token long, doc_id long, n long, l long, at long, df long, alone long, dense long")
 
 
-def _near(cfg: Jaccard, a: Column, b: Column) -> Column:
-    return F.least(a, b) * cfg.den >= F.greatest(a, b) * cfg.num
+def _meet(p: str, q: str, cfg: Jaccard) -> Column:
+    """Whether a shared token lies in the prefixes that this pair's own sizes ask for."""
+    c = F.col
+    need, l_ = F.floor(cfg.overlap(c(f"{p}.n"), c(f"{q}.n"))), F.least(f"{p}.l", f"{q}.l")
+    near = F.least(f"{p}.n", f"{q}.n") * cfg.den >= F.greatest(f"{p}.n", f"{q}.n") * cfg.num
+    return near & (c(f"{p}.at") < c(f"{p}.n") - need + l_) & (c(f"{q}.at") < c(f"{q}.n") - need + l_)
+
+
+def prefixes(reps: DataFrame, cfg: Jaccard) -> DataFrame:
+    """The adaptive prefixes of ``reps``: tokens that only one of them has are counted but not kept."""
+    tokens = reps.select("doc_id", "n", "low", F.posexplode("tokens").alias("at", "token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = tokens.join(common, "token").groupBy("doc_id", "n", "low").agg(F.collect_list(F.struct("at", "df", "token")).alias("tokens"))
+    return adaptive_prefixes(shared, cfg)
+
+
+def _pairs(p: DataFrame, q: DataFrame, extra: Column, cfg: Jaccard) -> DataFrame:
+    """(a, b) of p and q that share as many tokens of their prefixes as the shorter prefix asks for."""
+    j = p.alias("p").join(q.alias("q"), (F.col("p.token") == F.col("q.token")) & extra & _meet("p", "q", cfg))
+    j = j.groupBy(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b"), F.least("p.l", "q.l").alias("m"))
+    return j.agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, cfg: Jaccard) -> DataFrame:
@@ -131,27 +171,26 @@ def links(docs: DataFrame, table: DataFrame, cfg: Jaccard) -> DataFrame:
     """Edges (a, b) between representatives of equal sets that have every link's components."""
     classes = table.where("n > 0 and doc_id is not null").groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("doc_id"))
     reps = table.join(classes.hint("shuffle_hash"), ["doc_id", "n", "fa", "fb"], "left_semi")
-    tokens = reps.select("doc_id", "n", "low", F.posexplode("tokens").alias("at", "token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(common, "token").groupBy("doc_id", "n", "low").agg(F.collect_list(F.struct("at", "df", "token")).alias("tokens"))
-    prefixes = stored(adaptive_prefixes(shared, cfg), "prefixes")
+    ranked = stored(prefixes(reps, cfg), "prefixes")
+
+    rare = ranked.where(F.col("df") <= cfg.frequent).select("token", "doc_id", "n", "l", "at", "dense")
+    sparse = _pairs(rare, rare, (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.dense") + F.col("q.dense") < 2), cfg)
 
-    # First each posting list against its least document: that joins most of a group without its pairs.
-    least = prefixes.groupBy("token").agg(F.min(F.struct("doc_id", "n", "l")).alias("p"))
-    star = prefixes.join(least, "token").where(F.col("doc_id") > F.col("p.doc_id")).where(_near(cfg, F.col("n"), F.col("p.n")))
-    star = star.groupBy(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b"), F.least("l", "p.l").alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
-    star = stored(star, "star")
-    first = stored(verified(star, docs, cfg), "links")
+    dense = stored(ranked.where("dense = 1").select("doc_id").distinct(), "dense")
+    few = F.broadcast(dense) if dense.count() <= cfg.broadcast_ids else dense.hint("shuffle_hash")
+    whole = shingle_table(docs.join(few, "doc_id", "left_semi"), cfg, every=True).dropDuplicates(["doc_id", "fa", "fb"])
+    again = stored(prefixes(whole, cfg).drop("df", "dense"), "dense-prefixes")
+    center = again.groupBy("token").agg(F.min(F.struct("alone", "doc_id", "n", "l", "at")).alias("p"))
+    star = again.alias("q").join(center, "token").where((F.col("q.doc_id") != F.col("p.doc_id")) & _meet("p", "q", cfg))
+    star = star.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b"))
+    found = stored(sparse.unionByName(star).distinct(), "candidates")
+    first = stored(verified(found, docs, cfg), "links")
 
-    # Then what lies in different components still: every pair with enough shared tokens, none left out.
     comp = components(first)
-    placed = stored(prefixes.join(comp, prefixes["doc_id"] == comp["node"], "left").select("token", "doc_id", "n", "l", F.coalesce("component", "doc_id").alias("comp")), "placed")
+    placed = stored(again.join(comp, again["doc_id"] == comp["node"], "left").select("token", "doc_id", "n", "l", "at", F.coalesce("component", "doc_id").alias("comp")), "placed")
     split = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     left = placed.join(split, "token", "left_semi")
-    p, q = left.alias("p"), left.alias("q")
-    rest = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") < F.col("q.comp")) & _near(cfg, F.col("p.n"), F.col("q.n")))
-    rest = rest.groupBy(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b"), F.least("p.l", "q.l").alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    rest = stored(_pairs(left, left, F.col("p.comp") < F.col("q.comp"), cfg).join(found, ["a", "b"], "left_anti"), "rest")
     return first.unionByName(verified(rest, docs, cfg))
 
 

@@ -224,12 +224,14 @@ def dictionary_repeats(entries: DataFrame, length: int) -> DataFrame:
 def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, spans): sorted disjoint byte ranges [a, b) of each text to remove, from ``docs(doc_id, text)``; texts without any are left out."""
     d = docs.where(F.octet_length("text") >= length)
+    # Both are stored so that each side of the joins is an exchange of its own, which Spark can split at a hot key.
     live = phrase_counts(d, length).groupBy("key").agg(F.min("ctx").alias("c0"), F.max("ctx").alias("c1"), F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1").select("key", (F.col("c0") < F.col("c1")).alias("differ"), "first")
+    live = stored(live, "live")
     places = stored(phrase_places(d, length).join(live, "key").where("differ or again or doc_id > first"), "places")
     whole = places.where("again or not differ").select("doc_id", "lo", "hi")
 
     once = places.where("differ and not again").select("key", "ctx", "doc_id", "lo", "hi")
-    first = once.groupBy("key", "ctx").agg(F.min("doc_id").alias("first"))
+    first = stored(once.groupBy("key", "ctx").agg(F.min("doc_id").alias("first")), "first")
     known = stored(once.join(first, ["key", "ctx"]), "known")
     look = known.where("doc_id = first").groupBy("doc_id").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("look"))
 
