@@ -116,7 +116,7 @@ def search(vectors: DataFrame, every: int, k: int, confidence: float = 2.1, inde
                 order = np.argsort(index.nearness(index.rotated(x, True)), axis=1)[:, : index.probes]
                 s = x @ index.sample.T
                 s[ids[:, None] == index.sample_ids] = -np.inf
-                bound = np.sort(s, axis=1)[:, -2 * k] if s.shape[1] > 2 * k else np.full(len(x), -np.inf)
+                bound = np.sort(s, axis=1)[:, -5 * k] if s.shape[1] > 5 * k else np.full(len(x), -np.inf)
                 who = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array(bound).take(who), pa.array(order.ravel(), pa.int64())], ["vec_id", "v", "bound", "list"])
 
