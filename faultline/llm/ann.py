@@ -8,6 +8,7 @@ with the test's confidence is abandoned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.shared import stored
 from faultline.llm.vectors import CANDIDATES, QUERIES, answers, best, matrix, spread, valid
 
 BLOCK = 16
+#: The sample's bound never stands above this rank: there, chance alone seldom makes it too tight.
+LEAST_RANK = 5
 
 
 @dataclass(frozen=True)
@@ -95,6 +99,10 @@ def search(vectors: DataFrame, every: int, k: int, confidence: float = 2.1, inde
     Invalid vectors (null, empty, zero, with null or non-finite components, or not of the index's length) take
     no part. A row that repeats a query's id is not its candidate. The score is the inner product of the
     original vectors in doubles. A list with many vectors is split, as is one that many queries probe.
+
+    The nearest list comes first: its k best are kept and the last of them bounds the scan of the other probed
+    lists, so that what these return doesn't grow with the number of vectors. A second bound is the sample's,
+    at the rank that stands for the ``5 * k`` best of all vectors.
     """
     spark = vectors.sparkSession
     v = valid(vectors, zero=False, **columns)
@@ -108,6 +116,11 @@ def search(vectors: DataFrame, every: int, k: int, confidence: float = 2.1, inde
             near = index.nearness(index.rotated(matrix(b.column(1)))).argmin(1) if len(b) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int64())], ["vec_id", "v", "list"])
 
+    c = stored(v.mapInArrow(place, "vec_id long, v array<double>, list long"), "placed")
+    held = {r.list: r["count"] for r in c.groupBy("list").count().collect()}
+    share = min(1.0, len(index.sample) / max(1, sum(held.values())))
+    depth = max(LEAST_RANK, math.ceil(5 * k * share))
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, len(whole), 500):
@@ -116,21 +129,12 @@ def search(vectors: DataFrame, every: int, k: int, confidence: float = 2.1, inde
                 order = np.argsort(index.nearness(index.rotated(x, True)), axis=1)[:, : index.probes]
                 s = x @ index.sample.T
                 s[ids[:, None] == index.sample_ids] = -np.inf
-                bound = np.sort(s, axis=1)[:, -5 * k] if s.shape[1] > 5 * k else np.full(len(x), -np.inf)
+                bound = np.sort(s, axis=1)[:, -depth] if s.shape[1] > depth else np.full(len(x), -np.inf)
                 who = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array(bound).take(who), pa.array(order.ravel(), pa.int64())], ["vec_id", "v", "bound", "list"])
+                turn = np.tile(np.arange(order.shape[1]), len(x))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array(bound).take(who), pa.array(order.ravel(), pa.int64()), pa.array(turn, pa.int64())], ["vec_id", "v", "bound", "list", "turn"])
 
-    c = v.mapInArrow(place, "vec_id long, v array<double>, list long")
-    q = v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(probe, "vec_id long, v array<double>, bound double, list long")
-    held = {r.list: r["count"] for r in c.groupBy("list").count().collect()}
-    asked = {r.list: r["count"] for r in q.groupBy("list").count().collect()}
-    names = range(len(index.centers))
-    sizes = spark.createDataFrame([(i, max(1, -(-held.get(i, 0) // CANDIDATES)), max(1, -(-asked.get(i, 0) // QUERIES))) for i in names], "list long, lanes int, lots int")
-    sizes = F.broadcast(sizes)  # a row per list
-    mine = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(77)), F.col(n).cast("long")).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    c = c.join(sizes, "list").withColumn("lane", mine("lanes")).withColumn("lot", all_of("lots")).select("list", "lane", "lot", "vec_id", "v")
-    q = q.join(sizes, "list").withColumn("lot", mine("lots")).withColumn("lane", all_of("lanes")).select("list", "lane", "lot", "vec_id", "v", "bound")
+    q = v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(probe, "vec_id long, v array<double>, bound double, list long, turn long")
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -138,18 +142,33 @@ def search(vectors: DataFrame, every: int, k: int, confidence: float = 2.1, inde
             x, ids = matrix(right["v"]), right["vec_id"].to_numpy()
             columns_ = np.ascontiguousarray(index.rotated(x).T)
             qs = matrix(left["v"])
-            for own, v_, r, least in zip(left["vec_id"].to_pylist(), qs, index.rotated(qs, True), left["bound"].to_pylist(), strict=True):
+            for own, v_, r, bound in zip(left["vec_id"].to_pylist(), qs, index.rotated(qs, True), left["bound"].to_pylist(), strict=True):
                 mass = float(np.square(v_).sum()) + index.norm2
                 at = np.flatnonzero(ids != own)
                 first, best_ = at[:: max(1, len(at) // 256)], -np.inf
                 if len(first) >= k:
                     best_ = np.partition(x[first] @ v_, len(first) - k)[len(first) - k]
-                bound = max(least, best_)
-                at = scan(r, columns_, at, mass - 2 * bound if np.isfinite(bound) else np.inf, confidence)
+                limit = max(bound, best_)
+                at = scan(r, columns_, at, mass - 2 * limit if np.isfinite(limit) else np.inf, confidence)
                 s = np.einsum("ij,j->i", x[at], v_)
                 order = np.lexsort((ids[at], -s))[:k]
+                order = order[s[order] >= bound]
                 rows.append((own, ids[at[order]], s[order]))
         return answers(rows, pa.float64())
 
-    part = q.groupBy("list", "lane", "lot").cogroup(c.groupBy("list", "lane", "lot")).applyInArrow(kernel, "query_id long, vec_id long, score double")
-    return best(part, k)
+    mine = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(77)), F.col(n).cast("long")).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def scanned(asking: DataFrame) -> DataFrame:
+        """The k best of each query in each group of bounded size of the lists it asks."""
+        asked = {r.list: r["count"] for r in asking.groupBy("list").count().collect()}
+        sizes = spark.createDataFrame([(i, max(1, -(-held.get(i, 0) // CANDIDATES)), max(1, -(-asked.get(i, 0) // QUERIES))) for i in range(len(index.centers))], "list long, lanes int, lots int")
+        sizes = F.broadcast(sizes)  # a row per list
+        right = c.join(sizes, "list").withColumn("lane", mine("lanes")).withColumn("lot", all_of("lots")).select("list", "lane", "lot", "vec_id", "v")
+        left = asking.join(sizes, "list").withColumn("lot", mine("lots")).withColumn("lane", all_of("lanes")).select("list", "lane", "lot", "vec_id", "v", "bound")
+        return left.groupBy("list", "lane", "lot").cogroup(right.groupBy("list", "lane", "lot")).applyInArrow(kernel, "query_id long, vec_id long, score double")
+
+    nearest = stored(best(scanned(q.where("turn = 0").withColumn("bound", F.lit(float("-inf")))), k), "nearest")
+    reached = nearest.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
+    others = q.where("turn > 0").join(reached, "vec_id", "left").withColumn("bound", F.greatest("bound", F.coalesce("reached", F.lit(float("-inf"))))).drop("reached")
+    return best(nearest.drop("rank").unionByName(scanned(stored(others, "asking"))), k)
