@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
 from faultline.functions import lexicon as lx
+from faultline.operators import connect, spans
 from faultline.operators import engine as op
 from faultline.sources.tables import Catalog, with_views
 
@@ -384,3 +385,21 @@ def kpi_counts(k):
     parts = [k.view(v).agg(F.count("*").alias("n")).select(F.lit(v).alias("v"), "n") for v in ("suppliers", "products", "locations", "incidents")]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     return u.agg(*[F.max(F.when(F.col("v") == v, F.col("n"))).alias(v) for v in ("suppliers", "products", "locations", "incidents")])
+
+
+# --- without SQL: the tests hold these against brute force
+
+
+@query()
+def entity_spans(k):
+    return spans.entity_spans(k.view("news"), "article_id", "content")
+
+
+@query()
+def graph_weak_components(k):
+    return connect.weak_components(_edges(k))
+
+
+@query()
+def graph_strong_components(k):
+    return connect.strong_components(_edges(k))
