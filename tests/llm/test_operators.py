@@ -249,3 +249,26 @@ def test_pipeline(spark, docs, tmp_path):
         before = shared.stored(stage(spark, before, str(tmp_path)), "test")
         assert before.columns == docs.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).where(F.col("length") <= 0).count() == 0
+
+
+def test_ids_are_the_librarys():
+    t, g = packing._worker_tokenizer(tokenizer_path()), random.Random(11)
+    bits = ["'", "'s", "'ll", "'re", "''", "s", "don", "THE", " ", "\n", "\t", "1", "23", "é", "é", "Σ", "ΑΣ", "ß", "İ", "!", "...", "​", "　", "中", "😀", "\0", "<|endoftext|>", "\x85", "\x1c", "٣", "Ⅷ", "͸", "\U000323af", "हिन्दी", "한글", "x" * 300]
+    known = [c for a, b in packing._KNOWN for c in range(a, b + 1) if c < 0x3100]
+    texts = ["".join(g.choices(bits, k=g.randint(0, 30))) for _ in range(3000)] + ["".join(chr(g.choice(known)) for _ in range(g.randint(0, 40))) for _ in range(3000)]
+    for i in range(0, len(texts), 41):
+        part = texts[i : i + 41]
+        assert [x.tolist() for x in t.ids(part)] == [e.ids for e in t.own.encode_batch(part, add_special_tokens=False)]
+    assert [len(x) for x in t.ids([None, "", " \n"])] == [0, 0, 0]
+
+
+def test_tokens_are_those_that_merges_reach(tmp_path):
+    """A token that its own bytes do not lead to by the listed pairs is left out."""
+    import json
+
+    model = {"vocab": {"a": 0, "b": 1, "c": 2, "ab": 3, "bc": 4, "abc": 5}, "merges": [["b", "c"], ["a", "b"], ["ab", "c"]], "end_of_word_suffix": "</w>"}
+    model["vocab"] |= {c + e: 0 for c in packing.byte_signs() for e in ("", "</w>") if c + e not in model["vocab"]}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"model": model}))
+    made = {b for b, _ in packing.merge_table(str(path))}
+    assert {b"bc", b"ab"} <= made and b"abc" not in made
