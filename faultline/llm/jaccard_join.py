@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.components import components
-from faultline.llm.shared import int_bits, lists, mix, shingle_sets, stored, text_bytes
+from faultline.llm.shared import int_bits, lists, mix, shingle_sets, stored, text_bytes, tidy
 
 U64 = np.uint64
 
@@ -79,7 +79,7 @@ def shingle_table(docs: DataFrame, cfg: Jaccard, every: bool = False) -> DataFra
             for i in range(0, len(n), 1000):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1000), *(pa.array(x[i : i + 1000], pa.int64()) for x in (n, fa, fb, low)), lists(tokens[i : i + 1000], pa.int64())], ["doc_id", "n", "fa", "fb", "low", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, fa long, fb long, low long, tokens array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, fa long, fb long, low long, tokens array<long>")
 
 
 def adaptive_prefixes(shared: DataFrame, cfg: Jaccard) -> DataFrame:
@@ -120,7 +120,7 @@ def adaptive_prefixes(shared: DataFrame, cfg: Jaccard) -> DataFrame:
                 token_, place_, df_ = (np.concatenate([x[i] for x in out]) for i in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (token_, *cols[:3], place_, df_, *cols[3:])], ["token", "doc_id", "n", "l", "at", "df", "alone", "dense"])
 
-    return shared.mapInArrow(run, "token long, doc_id long, n long, l long, at long, df long, alone long, dense long")
+    return shared.mapInArrow(tidy(run), "token long, doc_id long, n long, l long, at long, df long, alone long, dense long")
 
 
 def _meet(p: str, q: str, cfg: Jaccard) -> Column:
@@ -161,7 +161,7 @@ def verified(pairs: DataFrame, docs: DataFrame, cfg: Jaccard) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(held)), lists(held, pa.int64())], ["doc_id", "s"])
                     held, size, i = [], 0, k + 1
 
-    sets = stored(docs.join(few, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s array<long>"), "sets")
+    sets = stored(docs.join(few, "doc_id", "left_semi").mapInArrow(tidy(run), "doc_id long, s array<long>"), "sets")
     j = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return j.withColumn("i", both).where(F.col("i") * cfg.den >= (F.size("sa") + F.size("sb") - F.col("i")) * cfg.num).select("a", "b").distinct()

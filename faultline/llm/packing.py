@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faultline.llm.shared import pieces, stored, text_bytes
+from faultline.llm.shared import pieces, stored, text_bytes, tidy
 
 
 #: Classes of code points: white space, letter, number, other, and those that only the library itself may judge.
@@ -54,15 +54,16 @@ def byte_signs() -> dict[str, int]:
 
 
 @functools.lru_cache(2)
-def merge_table(path: str) -> list[tuple[bytes, int]]:
-    """(bytes, id) of every token in the order of the merges that make it.
+def merge_table(path: str) -> tuple[list[tuple[bytes, int]], list[str]]:
+    """(bytes, id) of every token in the order of the merges that make it, and the special tokens.
 
     A closing zero byte stands for the end of a word. Merging by token instead of by pair gives the same ids as
     long as each token's own bytes lead to it by the listed pairs; tokens that they don't lead to never occur and
     are left out.
     """
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model = whole["model"]
     vocab, end = model["vocab"], model["end_of_word_suffix"]
     pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
     rank = {p: i for i, p in enumerate(pairs)}
@@ -88,7 +89,7 @@ def merge_table(path: str) -> list[tuple[bytes, int]]:
         return bytes(sign[c] for c in body) + b"\0" * (token != body)
 
     tokens = [c + e for e in ("", end) for c in sign] + [t for a, b in pairs if reached(t := a + b)]
-    return [(raw(t), vocab[t]) for t in tokens]
+    return [(raw(t), vocab[t]) for t in tokens], [t["content"] for t in whole.get("added_tokens", ())]
 
 
 class WordTokenizer:
@@ -98,15 +99,19 @@ class WordTokenizer:
     zero byte or a code point outside the known ones go through the file's own library.
     """
 
-    def __init__(self, path: str, table: list[tuple[bytes, int]]) -> None:
+    def __init__(self, path: str, table: list[tuple[bytes, int]], special: list[str]) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.own = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        self.path, self.special = path, special
         self.merger = tiktoken.Encoding("words", pat_str="[^\0]+\0", mergeable_ranks={b: i for i, (b, _) in enumerate(table)}, special_tokens={})
         self.id_of = np.array([i for _, i in table], "<u4")
         self.closes = np.array([len(b) > 1 and b[-1] == 0 for b, _ in table])
         self.kind = _classes()
 
+    @functools.cached_property
+    def own(self) -> Tokenizer:
+        """The file's own library, loaded for the first text that needs it."""
+        return Tokenizer.from_file(self.path)
+
     def _ends(self, cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Where a piece ends: at a change of class, after each number, and after an apostrophe's ending."""
         n = len(cp)
@@ -152,21 +157,27 @@ class WordTokenizer:
         return out
 
 
-@functools.lru_cache(2)
-def _worker_tokenizer(path: str) -> WordTokenizer:
+_KEPT: dict[str, WordTokenizer] = {}
+
+
+def _worker_tokenizer(path: str, table: list[tuple[bytes, int]], special: list[str]) -> WordTokenizer:
     """One for all tasks of a worker process."""
-    return WordTokenizer(path, merge_table(path))
+    if path not in _KEPT:
+        _KEPT[path] = WordTokenizer(path, table, special)
+    return _KEPT[path]
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", piece: int = 1 << 19) -> DataFrame:
     """(doc_id, source, ids, n, part, start): ids as little-endian uint32, closed by ``end_id``.
 
     ``part`` is the task and ``start`` the tokens of the same source before it in that task. Null text is empty.
-    Texts are taken in groups of about ``piece`` bytes, or alone if longer.
+    Texts are taken in groups of about ``piece`` bytes, or alone if longer. The merges, which only the vocabulary
+    file sizes, are worked out on the driver and broadcast.
     """
+    merges = docs.sparkSession.sparkContext.broadcast(merge_table(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, at, part = _worker_tokenizer(path), {}, TaskContext.get().partitionId()
+        t, at, part = _worker_tokenizer(path, *merges.value), {}, TaskContext.get().partitionId()
         for b in batches:
             for i, j in pieces(text_bytes(b.column(1))[1], piece):
                 rows, ids, starts = b.slice(i, j - i), [], []
@@ -178,7 +189,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(ids, pa.binary()), pa.array([len(y) // 4 for y in ids], pa.int64()), pa.array([part] * m, pa.int64()), pa.array(starts, pa.int64())], ["doc_id", "source", "ids", "n", "part", "start"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")).mapInArrow(run, f"doc_id {kind}, source string, ids binary, n long, part long, start long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")).mapInArrow(tidy(run), f"doc_id {kind}, source string, ids binary, n long, part long, start long")
 
 
 class Schedule:
@@ -271,4 +282,4 @@ def pack(docs: DataFrame, path: str, window: int = 4096, quantum: int = 256, wei
 
     kind = ids.schema["doc_id"].dataType.simpleString()
     spec = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", source string, ids binary" * with_ids
-    return placed.mapInArrow(run, spec)
+    return placed.mapInArrow(tidy(run), spec)

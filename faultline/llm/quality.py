@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import pieces, stored, text_bytes
+from faultline.llm.shared import pieces, stored, text_bytes, tidy
 
 #: The statistics, in the order of the feature vector.
 STATISTICS = ("length", "words", "word_length", "capitals", "exclamations", "symbols", "bars", "digits", "stops", "lines", "wide", "spaces")
@@ -71,7 +71,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["doc_id", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, x array<double>")
 
 
 def fit(examples: DataFrame, shrink: float = 0.1) -> Discriminant:
@@ -134,7 +134,7 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = stats.schema["doc_id"].dataType.simpleString()
-    return stats.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return stats.select("doc_id", "x").mapInArrow(tidy(run), f"doc_id {kind}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -146,4 +146,4 @@ def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.5, text
             good = model.score(statistics(*text_bytes(b.column(at)))) >= threshold
             yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

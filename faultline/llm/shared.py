@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Python tasks take a batch of rows apart into pieces of about so many bytes, so that memory follows this, not the batch.
 PIECE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -20,12 +24,34 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and any executor may be lost afterwards."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here and any executor may be lost afterwards.
+
+    From here on the session hands Python at most ``BATCH_ROWS`` rows at once, since each may be a long text.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(rows, str(BATCH_ROWS))
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives freed memory back to the system: workers stay for later stages."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # in glibc only
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import BYTE_CODE, lists, mix, pieces, powers, stored, text_bytes
+from faultline.llm.shared import BYTE_CODE, lists, mix, pieces, powers, stored, text_bytes, tidy
 
 U64 = np.uint64
 GRAM = 32
@@ -136,7 +136,7 @@ def phrase_counts(docs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*map(pa.array, (k[at], c[at], d[at], np.diff(np.append(at, len(k)))))], ["key", "ctx", "first", "n"])
                     keys, ctxs, docs_, n = [], [], [], 0
 
-    return docs.mapInArrow(run, "key long, ctx long, first long, n long")
+    return docs.mapInArrow(tidy(run), "key long, ctx long, first long, n long")
 
 
 def phrase_places(docs: DataFrame, length: int) -> DataFrame:
@@ -152,7 +152,7 @@ def phrase_places(docs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["key", "ctx", "doc_id", "lo", "hi", "again"])
                     held, n = [], 0
 
-    return docs.mapInArrow(run, "key long, ctx long, doc_id long, lo long, hi long, again boolean")
+    return docs.mapInArrow(tidy(run), "key long, ctx long, doc_id long, lo long, hi long, again boolean")
 
 
 def dictionary_repeats(entries: DataFrame, length: int) -> DataFrame:
@@ -218,7 +218,7 @@ def dictionary_repeats(entries: DataFrame, length: int) -> DataFrame:
         if bits:
             yield batch(repeats(bits, seen)[0])
 
-    return entries.mapInArrow(run, "doc_id long, lo long, hi long")
+    return entries.mapInArrow(tidy(run), "doc_id long, lo long, hi long")
 
 
 def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -248,7 +248,7 @@ def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "doc_id", "lo", "raw"])
                     held, size = [], 0
 
-    entries = d.join(look.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "look").mapInArrow(phrases, "key long, doc_id long, lo long, raw binary")
+    entries = d.join(look.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "look").mapInArrow(tidy(phrases), "key long, doc_id long, lo long, raw binary")
     inside = dictionary_repeats(entries.repartition("key").sortWithinPartitions("key", "doc_id", "lo"), length)
     starts = whole.unionByName(known.where("doc_id > first").select("doc_id", "lo", "hi")).unionByName(inside)
 
@@ -265,7 +265,7 @@ def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
                 spans.append(np.stack([a[at], e[np.append(at[1:], len(a)) - 1]], 1).ravel())
             yield pa.RecordBatch.from_arrays([b.column(0), lists(spans, pa.int64())], ["doc_id", "spans"])
 
-    return starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).mapInArrow(merged, "doc_id long, spans array<long>")
+    return starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).mapInArrow(tidy(merged), "doc_id long, spans array<long>")
 
 
 def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -296,7 +296,7 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
             cols = [pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, *([pa.array(kept, pa.string())] if with_text else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
-    return d.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    return d.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,4 +326,4 @@ def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     joined = docs.join(spans.hint("shuffle_hash"), docs[id_col] == spans["_id"], "left")
-    return joined.select(*[docs[c] for c in docs.columns], "_spans").mapInArrow(run, schema)
+    return joined.select(*[docs[c] for c in docs.columns], "_spans").mapInArrow(tidy(run), schema)

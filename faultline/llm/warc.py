@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.shared import tidy
+
 #: Fixed values of the format: magic numbers of the dictionary's skippable frame and of a frame.
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -128,7 +130,7 @@ def write(planned: DataFrame) -> DataFrame:
                     held, size, number = [], 0, number + 1
         if held:
             yield closed()
-    return planned.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, records long, content binary")
+    return planned.select("page_id", "url", "html", "refers_to").mapInArrow(tidy(run), "archive string, records long, content binary")
 
 
 def read(archives: DataFrame, bodies: bool = False) -> DataFrame:
@@ -154,7 +156,7 @@ def read(archives: DataFrame, bodies: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return archives.select("content").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * bodies)
+    return archives.select("content").mapInArrow(tidy(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * bodies)
 
 
 def export(archives: DataFrame, folder: str) -> None:
