@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
 from faultline.functions import lexicon as lx
+from faultline.operators.connect import cut
 
 # --- data quality
 
@@ -156,29 +157,57 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id").distinct().join(out, "node_id", "left").join(inn, "node_id", "left").select("node_id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-def propagate(edges: DataFrame, shocks: DataFrame, rounds: int = 2, damping: float = 0.60) -> DataFrame:
-    """(node_id, risk) after ``rounds`` Jacobi rounds over normalised in-edges; the shock is (node_id, shock)."""
-    total = edges.groupBy("dst").agg(F.sum("weight").alias("t"))
-    norm = edges.join(total, "dst").select("src", "dst", (F.col("weight") / F.col("t")).alias("w"))
+def _weighted(edges: DataFrame, side: str) -> DataFrame:
+    """(src, dst, w): weights as shares of their sum at ``side``; where that sum is 0 they stay as they are."""
+    total = edges.groupBy(side).agg(F.sum("weight").alias("t"))
+    return edges.join(total, side).select("src", "dst", (F.col("weight") / F.when(F.col("t") == 0, 1.0).otherwise(F.col("t"))).alias("w"))
+
+
+def propagate(edges: DataFrame, shocks: DataFrame, rounds: int | None = None, damping: float = 0.60, limit: int = 15, tol: float = 1e-4) -> DataFrame:
+    """(node_id, risk) by Jacobi rounds over normalised in-edges; the shock is (node_id, shock).
+
+    Rounds end after the first whose largest change is below ``tol``, or after ``limit``; ``rounds`` asks for a
+    fixed number instead. Every round is checkpointed; its largest change is all that reaches the driver.
+    """
+    norm = cut(_weighted(edges, "dst"))
     nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct().join(shocks, "node_id", "left").select("node_id", F.coalesce("shock", F.lit(0.0)).alias("r0"))
-    now = nodes.withColumn("r", F.col("r0"))
-    for _ in range(rounds):
+    now = cut(nodes.withColumn("r", F.col("r0")))
+    for _ in range(limit if rounds is None else rounds):
         pull = norm.join(now.select(F.col("node_id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("w") * F.col("r")).alias("p"))
-        now = now.join(pull, "node_id", "left").select("node_id", "r0", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - damping) * F.col("r0") + damping * F.coalesce("p", F.lit(0.0)))).alias("r"))
+        new = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - damping) * F.col("r0") + damping * F.coalesce("p", F.lit(0.0))))
+        step = cut(now.join(pull, "node_id", "left").select("node_id", "r0", new.alias("r"), F.abs(new - F.col("r")).alias("moved")))
+        now = step.drop("moved")
+        if rounds is None and (step.agg(F.max("moved")).first()[0] or 0.0) < tol:
+            break
     return now.select("node_id", F.round("r", 4).alias("risk"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 3, alpha: float = 0.85) -> DataFrame:
-    """(node_id, rank) after a fixed number of rounds, weighted, dangling mass spread evenly."""
+def pagerank(edges: DataFrame, rounds: int | None = None, alpha: float = 0.85, limit: int = 100, tol: float = 1e-6) -> DataFrame:
+    """(node_id, rank), weighted, dangling mass spread evenly.
+
+    Rounds end after the first whose changes sum to less than ``tol`` times the number of nodes; if ``limit``
+    rounds don't reach that, every rank is 1/n, as in the reference. ``rounds`` asks for a fixed number instead.
+    Every round is checkpointed; its summed change is all that reaches the driver.
+    """
     nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
-    total = edges.groupBy("src").agg(F.sum("weight").alias("t"))
-    norm = edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("t")).alias("w"))
+    total = edges.groupBy("src").agg(F.sum("weight").alias("t")).where("t <> 0")
+    norm = cut(_weighted(edges, "src"))
     size = nodes.agg(F.count("*").alias("n"))
-    now = nodes.join(F.broadcast(size)).join(total.select(F.col("src").alias("node_id"), F.lit(True).alias("has")), "node_id", "left").withColumn("r", 1.0 / F.col("n"))
-    for _ in range(rounds):
+    now = cut(nodes.join(F.broadcast(size)).join(total.select(F.col("src").alias("node_id"), F.lit(True).alias("has")), "node_id", "left").withColumn("r", 1.0 / F.col("n")))
+    settled = rounds is not None
+    for _ in range(limit if rounds is None else rounds):
         lost = now.agg(F.coalesce(F.sum(F.when(F.col("has").isNull(), F.col("r"))), F.lit(0.0)).alias("lost"))
         pull = norm.join(now.select(F.col("node_id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("w") * F.col("r")).alias("p"))
-        now = now.join(pull, "node_id", "left").join(F.broadcast(lost)).select("node_id", "n", "has", ((1 - alpha) / F.col("n") + alpha * (F.coalesce("p", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("r"))
+        new = (1 - alpha) / F.col("n") + alpha * (F.coalesce("p", F.lit(0.0)) + F.col("lost") / F.col("n"))
+        step = cut(now.join(pull, "node_id", "left").join(F.broadcast(lost)).select("node_id", "n", "has", new.alias("r"), F.abs(new - F.col("r")).alias("moved")))
+        now = step.drop("moved")
+        if rounds is None:
+            moved, n = step.agg(F.sum("moved"), F.max("n")).first()
+            if moved is None or moved < tol * n:
+                settled = True
+                break
+    if not settled:
+        now = now.withColumn("r", 1.0 / F.col("n"))
     return now.select("node_id", F.round("r", 6).alias("rank"))
 
 

@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from faultline.operators import connect, spans
+from faultline.operators import engine as op
 
 
 def reach(nodes, edges):
@@ -44,6 +47,55 @@ def test_greedy(spark):
     assert sorted(r.id for r in got.collect()) == want
 
 
+def shares(edges, side):
+    t = {}
+    for e in edges:
+        t[e[side]] = t.get(e[side], 0.0) + e[2]
+    return [(a, b, w / (t[(a, b)[side]] or 1.0)) for a, b, w in edges], t
+
+
+def settled_risk(edges, shock, d=0.6, limit=15, tol=1e-4):
+    w, _ = shares(edges, 1)
+    r0 = {n: shock.get(n, 0.0) for a, b, _ in edges for n in (a, b)}
+    r = dict(r0)
+    for _ in range(limit):
+        new = {n: min(1.0, max(0.0, (1 - d) * r0[n] + d * sum(x * r[a] for a, b, x in w if b == n))) for n in r}
+        moved, r = max(abs(new[n] - r[n]) for n in r), new
+        if moved < tol:
+            break
+    return r
+
+
+def settled_rank(edges, alpha=0.85, limit=100, tol=1e-6):
+    w, t = shares(edges, 0)
+    nodes = {n for a, b, _ in edges for n in (a, b)}
+    r = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(limit):
+        lost = sum(r[n] for n in nodes if not t.get(n))
+        new = {n: (1 - alpha) / len(nodes) + alpha * (sum(x * r[a] for a, b, x in w if b == n) + lost / len(nodes)) for n in nodes}
+        moved, r = sum(abs(new[n] - r[n]) for n in nodes), new
+        if moved < tol * len(nodes):
+            return r
+    return dict.fromkeys(nodes, 1 / len(nodes))
+
+
+CHAIN = [("L", "F", 0.9), ("F", "S", 1.0), ("S", "P", 0.3), ("T", "P", 0.5), ("T", "Q", 0.0)]
+
+
+def test_settled(spark):
+    g = random.Random(6)
+    loops = [(f"n{a}", f"n{b}", g.randint(0, 9) / 10) for a, b in {(g.randrange(14), g.randrange(14)) for _ in range(30)} if a != b]
+    for edges, hit in ((CHAIN, "L"), (loops, loops[0][0])):
+        e = spark.createDataFrame(edges, "src string, dst string, weight double")
+        shock = spark.createDataFrame([(hit, 1.0)], "node_id string, shock double")
+        assert {r.node_id: r.risk for r in op.propagate(e, shock).collect()} == pytest.approx(settled_risk(edges, {hit: 1.0}), abs=6e-5)
+        assert {r.node_id: r.rank for r in op.pagerank(e).collect()} == pytest.approx(settled_rank(edges), abs=6e-7)
+    # a product three hops away is reached, and the supplier has lost what had not settled
+    risk = settled_risk(CHAIN, {"L": 1.0})
+    assert risk["P"] > 0 and risk["S"] == pytest.approx(0.6 * 0.6 * 0.4)
+    assert {r.rank for r in op.pagerank(spark.createDataFrame(CHAIN, "src string, dst string, weight double"), limit=1).collect()} == {round(1 / 6, 6)}
+
+
 def test_spans(spark):
     text = "The Port of Rotterdam and Tesla Berlin Factory; semiconductors from Shanghai, China."
     df = spark.createDataFrame([(1, text), (2, None), (3, " ")], "id int, text string")
