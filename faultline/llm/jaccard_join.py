@@ -42,6 +42,9 @@ class Jaccard:
     frequent: int = 8
     #: Up to so many ids a side is broadcast (8 bytes each); above, it is joined by shuffle.
     broadcast_ids: int = 500_000
+    #: Links of a component are counted in lanes of about so many sets and tokens, every two lanes in a group.
+    lane_sets: int = 1024
+    lane_tokens: int = 400_000
 
     def least(self, n):
         """The overlap that a set of n shingles needs with any partner."""
@@ -57,6 +60,11 @@ class Jaccard:
         return int(min(1.0, 1 - self.num / self.den + 0.05) * 2**63)
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        return int(mix(s).sum() >> U64(1)), int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum() >> U64(1))
+
+
 def shingle_table(docs: DataFrame, cfg: Jaccard, every: bool = False) -> DataFrame:
     """(doc_id, n, fa, fb, low, tokens): set size, 126-bit fingerprint, and the tokens that can stand in a prefix, in hash order.
 
@@ -72,8 +80,8 @@ def shingle_table(docs: DataFrame, cfg: Jaccard, every: bool = False) -> DataFra
                 for s in shingle_sets(*text_bytes(b.column(1)), cfg.words):
                     h = s >> U64(1)
                     n.append(len(h))
-                    fa.append(int(mix(s).sum() >> U64(1)))
-                    fb.append(int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum() >> U64(1)))
+                    for f, x in zip((fa, fb), fingerprint(s), strict=True):
+                        f.append(x)
                     low.append(int(np.searchsorted(h, U64(bound))))
                     tokens.append(int_bits(h[: max(low[-1], min(len(h), len(h) - cfg.least(len(h)) + cfg.most_l))]))
             for i in range(0, len(n), 1000):
@@ -146,22 +154,30 @@ def _pairs(p: DataFrame, q: DataFrame, extra: Column, cfg: Jaccard) -> DataFrame
     return j.agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, cfg: Jaccard) -> DataFrame:
-    """The linked ones of ``pairs(a, b)``, by their whole shingle sets. Sets are made for documents in a pair only."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "involved")
-    few = F.broadcast(ids) if ids.count() <= cfg.broadcast_ids else ids.hint("shuffle_hash")
+def whole_sets(docs: DataFrame, cfg: Jaccard) -> DataFrame:
+    """(doc_id, fa, fb, s): fingerprint and whole shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held, size, i = [], 0, 0
+            held, fa, fb, size, i = [], [], [], 0, 0
             for k, s in enumerate(shingle_sets(*text_bytes(b.column(1)), cfg.words)):
                 held.append(int_bits(s))
+                for f, x in zip((fa, fb), fingerprint(s), strict=True):
+                    f.append(x)
                 size += s.nbytes
                 if size > 4 << 20 or k + 1 == len(b):
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(held)), lists(held, pa.int64())], ["doc_id", "s"])
-                    held, size, i = [], 0, k + 1
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(held)), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), lists(held, pa.int64())], ["doc_id", "fa", "fb", "s"])
+                    held, fa, fb, size, i = [], [], [], 0, k + 1
+
+    return docs.mapInArrow(tidy(run), "doc_id long, fa long, fb long, s array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, cfg: Jaccard) -> DataFrame:
+    """The linked ones of ``pairs(a, b)``, by their whole shingle sets. Sets are made for documents in a pair only."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "involved")
+    few = F.broadcast(ids) if ids.count() <= cfg.broadcast_ids else ids.hint("shuffle_hash")
 
-    sets = stored(docs.join(few, "doc_id", "left_semi").mapInArrow(tidy(run), "doc_id long, s array<long>"), "sets")
+    sets = stored(whole_sets(docs.join(few, "doc_id", "left_semi"), cfg).select("doc_id", "s"), "sets")
     j = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return j.withColumn("i", both).where(F.col("i") * cfg.den >= (F.size("sa") + F.size("sb") - F.col("i")) * cfg.num).select("a", "b").distinct()
@@ -194,22 +210,78 @@ def links(docs: DataFrame, table: DataFrame, cfg: Jaccard) -> DataFrame:
     return first.unionByName(verified(rest, docs, cfg))
 
 
-def groups(docs: DataFrame, cfg: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+def link_counts(docs: DataFrame, classes: DataFrame, cfg: Jaccard) -> DataFrame:
+    """(n, fa, fb, more): the rows of other classes that each class links with, for classes that share a component.
 
-    Null and blank texts have no shingles and are their own component, as are rows with a null id (component
-    null). Equal sets link whatever their text. Rows that repeat an id share its links.
+    ``classes`` holds (n, fa, fb, rep, size, component_id). Every link lies within a component, so each two sets
+    of a component are compared, in groups of two bounded lanes; counts leave a group, not pairs.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    many = classes.groupBy("component_id").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")
+    many = many.select("component_id", F.ceil(F.greatest(F.col("sets") / cfg.lane_sets, F.col("tokens") / cfg.lane_tokens)).cast("int").alias("lanes"))
+    some = stored(classes.join(many, "component_id").withColumn("lane", F.pmod(F.xxhash64("n", "fa", "fb"), F.col("lanes").cast("long")).cast("int")), "counted")
+    ids = some.select(F.col("rep").alias("doc_id")).distinct()
+    few = F.broadcast(ids) if ids.count() <= cfg.broadcast_ids else ids.hint("shuffle_hash")
+    sets = whole_sets(docs.join(few, "doc_id", "left_semi"), cfg).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "fa", "fb"])
+    placed = stored(some.join(sets, ["rep", "fa", "fb"]), "counted-sets")
+    met = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).withColumns({"i": F.least("lane", "o"), "j": F.greatest("lane", "o")})
+
+    def kernel(t: pa.Table) -> pa.Table:
+        lane, n, w, i, j = (t[x].to_numpy() for x in ("lane", "n", "size", "i", "j"))
+        col = t["s"].combine_chunks()
+        ends = col.offsets.to_numpy().astype(np.int64) - col.offsets[0].as_py()
+        tokens, code = np.unique(col.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(t)), np.diff(ends))
+        right = lane == j
+        of = right[row]
+        order = np.argsort(code[of], kind="stable")
+        posts, start = row[of][order], np.searchsorted(code[of][order], np.arange(len(tokens) + 1))
+        more = np.zeros(len(t), np.int64)
+        for a in np.flatnonzero(lane == i):
+            c = code[ends[a] : ends[a + 1]]
+            size = start[c + 1] - start[c]
+            at = np.repeat(start[c] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            both = np.bincount(posts[at], minlength=len(t))
+            link = right & (both * cfg.den >= (n[a] + n - both) * cfg.num)
+            link[a] = False
+            more[a] += w[link].sum()
+            if i[0] != j[0]:
+                more[link] += w[a]
+        return pa.table([t["n"], t["fa"], t["fb"], pa.array(more)], ["n", "fa", "fb", "more"])
+
+    part = met.select("component_id", "i", "j", "lane", "n", "fa", "fb", "size", "s").groupBy("component_id", "i", "j").applyInArrow(kernel, "n long, fa long, fb long, more long")
+    return part.groupBy("n", "fa", "fb").agg(F.sum("more").alias("more"))
+
+
+def _placed(d: DataFrame, cfg: Jaccard) -> tuple[DataFrame, DataFrame]:
+    """The shingle table of ``d(doc_id, text)`` without its tokens, and (n, fa, fb, rep, size, component_id) of its classes."""
     table = stored(shingle_table(d, cfg), "shingles")
     comp = components(links(d.where("doc_id is not null"), table, cfg)).select(F.col("node").alias("rep"), "component")
-    rep = table.where("n > 0").groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep"))
-    named = rep.join(comp, "rep", "left").select("n", "fa", "fb", F.coalesce("component", "rep").alias("component_id"))
-    out = table.select("doc_id", "n", "fa", "fb").join(named, ["n", "fa", "fb"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    rep = table.where("n > 0").groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("size"))
+    return table.select("doc_id", "n", "fa", "fb"), rep.join(comp, "rep", "left").select("n", "fa", "fb", "rep", "size", F.coalesce("component", "rep").alias("component_id"))
+
+
+def _input(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def groups(docs: DataFrame, cfg: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
+
+    Null and blank texts have no shingles and are their own component, as are rows with a null id (component
+    and links null). Equal sets link whatever their text. Rows that repeat an id share its component.
+    ``n_links`` counts the other rows with an id whose set links with the row's own, equal sets included.
+    """
+    d = _input(docs, id_col, text_col)
+    table, classes = _placed(d, cfg)
+    classes = stored(classes, "classes")
+    more = link_counts(d.where("doc_id is not null"), classes.where("rep is not null"), cfg)
+    named = classes.join(more, ["n", "fa", "fb"], "left").select("n", "fa", "fb", "component_id", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    out, has = table.join(named, ["n", "fa", "fb"], "left"), F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(has, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(has, F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, cfg: Jaccard = Jaccard()) -> DataFrame:
     """Rows of ``docs`` whose id is the least of its component, all columns kept; rows with a null id stay."""
-    gone = groups(docs, cfg).where("component_id < doc_id").select("doc_id").distinct()
+    table, classes = _placed(_input(docs), cfg)
+    gone = table.join(classes, ["n", "fa", "fb"]).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -63,6 +63,16 @@ def test_jaccard(docs, texts, k, num):
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("lane", [1024, 8])
+def test_jaccard_links(spark, docs, texts, lane):
+    sets = [shingles(t, 4) for t in texts]
+    want = {a: sum(1 for b in range(len(sets)) if a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])) for a in range(len(sets))}
+    assert max(want.values()) > 20
+    extra = docs.unionByName(docs.where("doc_id = 20").selectExpr("cast(null as long) as doc_id", "text"), allowMissingColumns=True)
+    got = {r.doc_id: r.n_links for r in jaccard_join.groups(extra, jaccard_join.Jaccard(words=4, num=85, lane_sets=lane)).collect()}
+    assert got == want | {None: None}
+
+
 def removed(texts, length):
     seen, out = set(), []
     for t in texts:
