@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from faultline.functions import lexicon as lx
 from faultline.operators import connect, spans
 from faultline.operators import engine as op
+from faultline.plans import registry
 
 
 def reach(nodes, edges):
@@ -103,3 +105,19 @@ def test_spans(spark):
     # "The Port" fits the pattern of ports; the listed name overlaps it but does not lie within it, so both stay.
     assert got == [(1, "The Port", "PORT"), (1, "Port of Rotterdam", "PORT"), (1, "Tesla Berlin Factory", "FACILITY"), (1, "semiconductors", "PRODUCT"), (1, "Shanghai", "CITY"), (1, "China", "COUNTRY")]
     assert all(text[a:b] == t for a, b, t, *_ in spans.spans_of(text, spans.passes()))
+
+
+def test_spans_of_reports(spark):
+    """A report of each incident names a port; these made-up texts stand here, not in a registered query."""
+    reports = [(i, f"Strike near {p}") for i, p in enumerate(lx.PORTS)]
+    got = spans.entity_spans(spark.createDataFrame(reports, "id int, text string"), "id", "text").where("entity_type = 'PORT'").collect()
+    assert {(r.id, r.entity_text) for r in got} >= set(enumerate(lx.PORTS))
+
+
+def test_spans_of_news(spark, tmp_path):
+    """The registered query reads the whole news: a place late in a long document is found."""
+    text = "calm " * 20_000 + "until Shanghai closed"
+    spark.createDataFrame([(5, text, "a"), (15, None, "b")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in registry.queries()["entity_spans"](spark, str(tmp_path)).where("entity_type = 'CITY'").collect()]
+    at = len("Celebrity gossip and sports. ") + text.index("Shanghai")
+    assert got == [("ART5", at, at + 8, "Shanghai", "CITY", 0.93)]
