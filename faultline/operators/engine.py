@@ -129,10 +129,13 @@ def combined_risk(det: Column, first: Column, second: Column) -> tuple[Column, C
     return norm, F.round(norm * 100, 2), c.band(norm)
 
 
-def alert_reasons(sev: Column, geo: Column, dep: Column, det: Column, single: Column) -> Column:
+def alert_reasons(sev: Column, geo: Column, dep: Column, det: Column, single: Column, first: Column | None = None, second: Column | None = None, product: Column | None = None) -> Column:
+    """Reasons in the reference's order; those of the graph scores and of the product only where these are given."""
+    graph = F.when((first >= 0.50) | (second >= 0.50), "Graph propagation from affected upstream nodes") if first is not None and second is not None else F.lit(None).cast("string")
+    essential = F.when(product >= 0.75, "Essential product criticality") if product is not None else F.lit(None).cast("string")
     r = F.array_compact(F.array(
         F.when(sev >= 0.70, "High event severity").when(sev >= 0.40, "Moderate event severity"), F.when(geo >= 0.65, "Close geographic proximity").when(geo >= 0.40, "Regional proximity"),
-        F.when(dep >= 0.70, "High supply dependency").when(dep >= 0.45, "Moderate supply dependency"), F.when(det >= 0.60, "High deterministic risk").when(det >= 0.40, "Elevated deterministic risk"), F.when(single, "Single-source supplier")))
+        F.when(dep >= 0.70, "High supply dependency").when(dep >= 0.45, "Moderate supply dependency"), F.when(det >= 0.60, "High deterministic risk").when(det >= 0.40, "Elevated deterministic risk"), graph, F.when(single, "Single-source supplier"), essential))
     return F.when(F.size(r) > 0, F.array_join(r, "; ")).otherwise(F.lit("Baseline monitoring"))
 
 
@@ -157,6 +160,29 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id").distinct().join(out, "node_id", "left").join(inn, "node_id", "left").select("node_id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
+def density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(num_nodes, num_edges, density) of a directed graph; below two nodes the density is 0."""
+    n, m = nodes.select("node_id").distinct().agg(F.count("*").alias("num_nodes")), edges.agg(F.count("*").alias("num_edges"))
+    full = F.col("num_nodes") * (F.col("num_nodes") - 1)
+    return n.crossJoin(m).select("num_nodes", "num_edges", F.when(full > 0, F.round(F.col("num_edges") / F.when(full > 0, full), 6)).otherwise(0.0).alias("density"))
+
+
+def degree_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(degree, least, most, mean, median) of the in, out and total degrees, nodes without edges included."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("degree"), v.alias("n")) for k, v in (("in", F.col("in_degree")), ("out", F.col("out_degree")), ("total", F.col("in_degree") + F.col("out_degree")))])
+    d = degrees(edges, nodes).select(F.explode(kinds).alias("s")).select("s.*")
+    return d.groupBy("degree").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 3).alias("mean"), F.round(F.median("n"), 3).alias("median"))
+
+
+def ego_network(edges: DataFrame, node: str, radius: int = 2) -> DataFrame:
+    """The directed edges among the nodes that are at most ``radius`` steps from ``node`` in either direction."""
+    both = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("to")).union(edges.select("dst", "src"))
+    near = edges.select(F.lit(node).alias("node_id")).limit(1)
+    for _ in range(radius):
+        near = near.union(both.join(near, "node_id", "left_semi").select("to")).distinct()
+    return edges.join(near.withColumnRenamed("node_id", "src"), "src", "left_semi").join(near.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
 def _weighted(edges: DataFrame, side: str) -> DataFrame:
     """(src, dst, w): weights as shares of their sum at ``side``; where that sum is 0 they stay as they are."""
     total = edges.groupBy(side).agg(F.sum("weight").alias("t"))

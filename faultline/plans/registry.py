@@ -260,6 +260,19 @@ def combined_alerts(k):
     return r.select("supplier_id", "location_id", "severity", norm.alias("norm"), score.alias("score"), band.alias("band"), op.alert_reasons(F.col("f_severity"), F.col("exposure"), F.col("f_dependency"), F.col("risk_norm"), F.col("single")).alias("reasons"))
 
 
+@query(
+    _RISK
+    + """, g AS (SELECT supplier_id, location_id, severity, concat_ws('; ', CASE WHEN f_severity >= 0.70 THEN 'High event severity' WHEN f_severity >= 0.40 THEN 'Moderate event severity' END, CASE WHEN exposure >= 0.65 THEN 'Close geographic proximity' WHEN exposure >= 0.40 THEN 'Regional proximity' END,
+      CASE WHEN f_dependency >= 0.70 THEN 'High supply dependency' WHEN f_dependency >= 0.45 THEN 'Moderate supply dependency' END, CASE WHEN risk_norm >= 0.60 THEN 'High deterministic risk' WHEN risk_norm >= 0.40 THEN 'Elevated deterministic risk' END,
+      CASE WHEN 0.9137::DOUBLE * risk_norm >= 0.50 OR 0.9571::DOUBLE * risk_norm >= 0.50 THEN 'Graph propagation from affected upstream nodes' END, CASE WHEN single THEN 'Single-source supplier' END, CASE WHEN f_product >= 0.75 THEN 'Essential product criticality' END) AS reasons FROM risk)
+    SELECT supplier_id, location_id, severity, CASE WHEN reasons = '' THEN 'Baseline monitoring' ELSE reasons END AS reasons FROM g"""
+)
+def alert_reasons_all(k):
+    """With the graph's and the product's reasons, which ``combined_alerts`` and its SQL leave out."""
+    n = F.col("risk_norm")
+    return _risk(k).select("supplier_id", "location_id", "severity", op.alert_reasons(F.col("f_severity"), F.col("exposure"), F.col("f_dependency"), n, F.col("single"), 0.9137 * n, 0.9571 * n, F.col("f_product")).alias("reasons"))
+
+
 @query(_RISK + ", g AS (SELECT supplier_id, location_id, severity, unnest(['severity','exposure','supplier','product','dependency','single']) AS factor, unnest([f_severity, f_exposure, f_supplier, f_product, f_dependency, f_single]) AS value FROM risk) SELECT *, CASE WHEN value >= 0.75 THEN 'high' WHEN value >= 0.40 THEN 'moderate' ELSE 'low' END AS level FROM g")
 def risk_factors(k):
     s = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(f"f_{n}").alias("value")) for n in c.RISK_WEIGHTS]))
@@ -323,6 +336,32 @@ def isolated_nodes(k):
     return _nodes(k, e).join(ends, "node_id", "left_anti")
 
 
+@query(_EDGES + f", {_NODES}, c AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m) SELECT n AS num_nodes, m AS num_edges, round(m / (n * (n - 1)), 6)::DOUBLE AS density FROM c")
+def density(k):
+    e = _edges(k)
+    return op.density(e, _nodes(k, e))
+
+
+@query(
+    _EDGES
+    + f""", {_NODES}, i AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT src, count(*) AS n FROM edges GROUP BY 1), d AS (SELECT COALESCE(i.n, 0) AS a, COALESCE(o.n, 0) AS b FROM nodes LEFT JOIN i ON i.dst = node_id LEFT JOIN o ON o.src = node_id),
+    u AS (SELECT 'in' AS degree, a AS n FROM d UNION ALL SELECT 'out', b FROM d UNION ALL SELECT 'total', a + b FROM d)
+    SELECT degree, min(n) AS least, max(n) AS most, round(avg(n), 3) AS mean, round(median(n), 3)::DOUBLE AS median FROM u GROUP BY 1"""
+)
+def degree_stats(k):
+    e = _edges(k)
+    return op.degree_stats(e, _nodes(k, e))
+
+
+@query(
+    _EDGES
+    + """, b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), n1 AS (SELECT 'PRD1' AS x UNION SELECT y FROM b WHERE x = 'PRD1'), n2 AS (SELECT x FROM n1 UNION SELECT y FROM b WHERE x IN (SELECT x FROM n1))
+    SELECT src, dst, edge_type, weight FROM edges WHERE src IN (SELECT x FROM n2) AND dst IN (SELECT x FROM n2)"""
+)
+def ego2(k):
+    return op.ego_network(_edges(k), "PRD1", 2)
+
+
 def _shock(k: Catalog) -> DataFrame:
     return k.view("locations").where("location_id = 'LOC1'").select(F.col("location_id").alias("node_id"), F.lit(1.0).alias("shock"))
 

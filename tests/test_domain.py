@@ -54,6 +54,21 @@ def test_quality_operators(spark):
     assert [r.orphan for r in op.orphans(df, "id", df.where("id = 'S1'"), "id").collect()] == ["S2"]
 
 
+def test_graph_and_product_reasons(spark):
+    low, high = F.lit(0.1), F.lit(0.8)
+    assert one(spark, op.alert_reasons(low, low, low, low, F.lit(False), low, high, high)) == "Graph propagation from affected upstream nodes; Essential product criticality"
+    assert one(spark, op.alert_reasons(low, low, low, low, F.lit(False), low, low, low)) == "Baseline monitoring"
+
+
+def test_graph_measures(spark):
+    e = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "c"), ("a", "c"), ("e", "d")], "src string, dst string")
+    n = spark.createDataFrame([(x,) for x in "abcdefg"], "node_id string")
+    assert op.density(e, n).first().density == 0.119048
+    assert {tuple(r) for r in op.degree_stats(e, n).collect()} == {("in", 0, 2, 0.714, 0.0), ("out", 0, 2, 0.714, 1.0), ("total", 0, 3, 1.429, 2.0)}
+    assert {tuple(r) for r in op.ego_network(e, "b", 1).collect()} == {("a", "b"), ("c", "b"), ("a", "c")}
+    assert ("d", "c") in {tuple(r) for r in op.ego_network(e, "b", 2).collect()}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
