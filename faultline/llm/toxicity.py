@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
-The network is trained in numpy on a bounded sample of labelled documents and scores every overlapping
-window of every text; a document's score is that of its worst window.
+The network is trained in numpy on a bounded sample of labelled documents and scores overlapping windows of
+every text, each half a window after the last, so a passage of up to ``window - stride + 1`` tokens lies whole
+in one wherever it stands; a document's score is that of its worst window.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class Shape:
     char_buckets: int = 2048
     hidden: int = 8
     window: int = 32
-    stride: int = 24
+    stride: int = 16
     piece_chars: int = 32
     vocabulary: int = 20_000
     least_docs: int = 3

@@ -282,3 +282,12 @@ def test_tokens_are_those_that_merges_reach(tmp_path):
     path.write_text(json.dumps({"model": model}))
     made = {b for b, _ in packing.merge_table(str(path))[0]}
     assert {b"bc", b"ab"} <= made and b"abc" not in made
+
+
+def test_passages_lie_whole_in_a_window():
+    s = toxicity.Shape()
+    assert s.stride <= s.window // 2
+    for n in range(1, 200):
+        starts = toxicity.windows(n, s.window, s.stride)
+        size = min(n, s.window - s.stride + 1)
+        assert all(any(w <= a and a + size <= w + s.window for w in starts) for a in range(n - size + 1))
