@@ -102,7 +102,8 @@ def search(vectors: DataFrame, every: int, k: int, confidence: float = 2.1, inde
 
     The nearest list comes first: its k best are kept and the last of them bounds the scan of the other probed
     lists, so that what these return doesn't grow with the number of vectors. A second bound is the sample's,
-    at the rank that stands for the ``5 * k`` best of all vectors.
+    at the rank that stands for the ``5 * k`` best of all vectors. Queries that end with fewer than k rows are
+    scored against every list without bounds or tests.
     """
     spark = vectors.sparkSession
     v = valid(vectors, zero=False, **columns)
@@ -136,7 +137,7 @@ def search(vectors: DataFrame, every: int, k: int, confidence: float = 2.1, inde
 
     q = v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(probe, "vec_id long, v array<double>, bound double, list long, turn long")
 
-    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+    def answered(left: pa.Table, right: pa.Table, whole: bool) -> pa.Table:
         rows = []
         if len(left) and len(right):
             x, ids = matrix(right["v"]), right["vec_id"].to_numpy()
@@ -145,11 +146,13 @@ def search(vectors: DataFrame, every: int, k: int, confidence: float = 2.1, inde
             for own, v_, r, bound in zip(left["vec_id"].to_pylist(), qs, index.rotated(qs, True), left["bound"].to_pylist(), strict=True):
                 mass = float(np.square(v_).sum()) + index.norm2
                 at = np.flatnonzero(ids != own)
+                if whole:
+                    bound = -np.inf
                 first, best_ = at[:: max(1, len(at) // 256)], -np.inf
                 if len(first) >= k:
                     best_ = np.partition(x[first] @ v_, len(first) - k)[len(first) - k]
                 limit = max(bound, best_)
-                at = scan(r, columns_, at, mass - 2 * limit if np.isfinite(limit) else np.inf, confidence)
+                at = at if whole else scan(r, columns_, at, mass - 2 * limit if np.isfinite(limit) else np.inf, confidence)
                 s = np.einsum("ij,j->i", x[at], v_)
                 order = np.lexsort((ids[at], -s))[:k]
                 order = order[s[order] >= bound]
@@ -159,16 +162,29 @@ def search(vectors: DataFrame, every: int, k: int, confidence: float = 2.1, inde
     mine = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(77)), F.col(n).cast("long")).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    def scanned(asking: DataFrame) -> DataFrame:
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        return answered(left, right, False)
+
+    def kernel_whole(left: pa.Table, right: pa.Table) -> pa.Table:
+        return answered(left, right, True)
+
+    def scanned(asking: DataFrame, run=kernel) -> DataFrame:
         """The k best of each query in each group of bounded size of the lists it asks."""
         asked = {r.list: r["count"] for r in asking.groupBy("list").count().collect()}
         sizes = spark.createDataFrame([(i, max(1, -(-held.get(i, 0) // CANDIDATES)), max(1, -(-asked.get(i, 0) // QUERIES))) for i in range(len(index.centers))], "list long, lanes int, lots int")
         sizes = F.broadcast(sizes)  # a row per list
         right = c.join(sizes, "list").withColumn("lane", mine("lanes")).withColumn("lot", all_of("lots")).select("list", "lane", "lot", "vec_id", "v")
         left = asking.join(sizes, "list").withColumn("lot", mine("lots")).withColumn("lane", all_of("lanes")).select("list", "lane", "lot", "vec_id", "v", "bound")
-        return left.groupBy("list", "lane", "lot").cogroup(right.groupBy("list", "lane", "lot")).applyInArrow(kernel, "query_id long, vec_id long, score double")
+        return left.groupBy("list", "lane", "lot").cogroup(right.groupBy("list", "lane", "lot")).applyInArrow(run, "query_id long, vec_id long, score double")
 
     nearest = stored(best(scanned(q.where("turn = 0").withColumn("bound", F.lit(float("-inf")))), k), "nearest")
     reached = nearest.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
     others = q.where("turn > 0").join(reached, "vec_id", "left").withColumn("bound", F.greatest("bound", F.coalesce("reached", F.lit(float("-inf"))))).drop("reached")
-    return best(nearest.drop("rank").unionByName(scanned(stored(others, "asking"))), k)
+    found = stored(best(nearest.drop("rank").unionByName(scanned(stored(others, "asking"))), k), "found")
+    full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = stored(q.where("turn = 0").join(full, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    every_list = short.withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(index.centers) - 1).cast("long")))).select("vec_id", "v", "bound", "list", "turn")
+    again = best(scanned(stored(every_list, "asking"), kernel_whole), k)
+    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(*again.columns).unionByName(again)

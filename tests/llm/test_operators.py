@@ -291,3 +291,16 @@ def test_passages_lie_whole_in_a_window():
         starts = toxicity.windows(n, s.window, s.stride)
         size = min(n, s.window - s.stride + 1)
         assert all(any(w <= a and a + size <= w + s.window for w in starts) for a in range(n - size + 1))
+
+
+def test_ann_tops_up(spark):
+    """One probed list of few vectors: the other lists fill the answer."""
+    g = np.random.default_rng(2)
+    x = np.concatenate([g.normal(0, 0.05, (400, 8)) + np.eye(8)[0], g.normal(0, 0.05, (5, 8)) - np.eye(8)[0]])
+    v = spark.createDataFrame([(i + 1, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    near = ann.fit(ann.valid(v, zero=False), k=20)
+    index = ann.Index(near.norm2, near.rotation, near.rotated(np.array([np.eye(8)[0], -np.eye(8)[0]])), 1, near.sample, near.sample_ids)
+    got = ann.search(v, 405, 20, index=index).collect()
+    f = x.astype(np.float32).astype(np.float64)
+    s = f[:404] @ f[404]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == (np.argsort(-s)[:20] + 1).tolist()
