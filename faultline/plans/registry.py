@@ -98,9 +98,15 @@ def dq_duplicate_relationships(k):
 
 @query("SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS orphan FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
 def dq_fk_orphans(k):
+    """Against every second supplier only, as its SQL has it; ``dq_fk_orphans_all`` audits the whole table."""
     return op.orphans(k.table("lineitem"), "l_suppkey", k.table("supplier").where("s_suppkey % 2 = 0"), "s_suppkey")
 
 
+@query("SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS orphan FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)")
+def dq_fk_orphans_all(k):
+    return op.orphans(k.table("lineitem"), "l_suppkey", k.table("supplier"), "s_suppkey")
+
+
 @query("SELECT 'quality' AS column_name, count(*) AS n_missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL HAVING count(*) > 0")
 def dq_missing(k):
     labels = k.table("labels").select("doc_id", "quality")

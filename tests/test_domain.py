@@ -54,6 +54,12 @@ def test_quality_operators(spark):
     assert [r.orphan for r in op.orphans(df, "id", df.where("id = 'S1'"), "id").collect()] == ["S2"]
 
 
+def test_orphans_of_the_whole_table(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (5,)], "l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1,), (2,), (3,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert [r.orphan for r in registry.queries()["dq_fk_orphans_all"](spark, str(tmp_path)).collect()] == ["5"]
+
+
 def test_graph_and_product_reasons(spark):
     low, high = F.lit(0.1), F.lit(0.8)
     assert one(spark, op.alert_reasons(low, low, low, low, F.lit(False), low, high, high)) == "Graph propagation from affected upstream nodes; Essential product criticality"
