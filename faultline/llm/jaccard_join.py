@@ -7,9 +7,10 @@ longer prefix demands more shared tokens before a pair is verified. Classes of e
 Counting all shingles would move the whole corpus, so the first order ranks a fixed part of the hash space,
 which prefixes seldom leave. Documents whose prefix still holds a frequent token (large groups of near copies,
 mostly boilerplate) are dense. A pair with a document that isn't dense shares rare tokens only and is found from
-short posting lists. Pairs of two dense documents are found in a second order that counts all their shingles;
-there each list is first held against its most central document, and only what that leaves in different
-components is joined pair by pair.
+short posting lists. Pairs of two dense documents are found in a second order that counts all their shingles.
+There the documents of a frequent token are written as differences from the token's most central document, and
+prefixes over those differences find the pairs: however large a group of near copies is, its members' own
+changes are rare. Documents far from the center take another one in the next round.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ class Jaccard:
     verify_cost: float = 8.0
     #: Tokens in more documents are frequent.
     frequent: int = 8
+    #: Rounds in which frequent tokens take a center; what lies far from every center is then joined pair by pair.
+    pivots: int = 6
+    #: A round that leaves more than this share far from their centers is the last.
+    useful: float = 0.9
     #: Up to so many ids a side is broadcast (8 bytes each); above, it is joined by shuffle.
     broadcast_ids: int = 500_000
     #: Links of a component are counted in lanes of about so many sets and tokens, every two lanes in a group.
@@ -183,6 +188,50 @@ def verified(pairs: DataFrame, docs: DataFrame, cfg: Jaccard) -> DataFrame:
     return j.withColumn("i", both).where(F.col("i") * cfg.den >= (F.size("sa") + F.size("sb") - F.col("i")) * cfg.num).select("a", "b").distinct()
 
 
+def deltas(member: DataFrame, sets: DataFrame, cfg: Jaccard) -> DataFrame:
+    """(center, cf, doc_id, n, w, k, tokens) from ``member(center, doc_id)`` and ``sets(doc_id, fa, s)``.
+
+    A document is written as what it lacks of its center's set and what it has beyond it (a lacking token is its
+    complement). With K = (den - num) * |center| and W = den * lacking + num * beyond, two documents of a center
+    link exactly if (num + den) * (delta tokens in common) >= W + W' - K, so one links with its center if W <= K.
+    Documents of W <= 2K link only with those of W <= 2K * den / num + K; tokens beyond that are left out.
+    """
+    c = sets.select(F.col("doc_id").alias("center"), F.col("fa").alias("cf"), F.col("s").alias("sc"))
+    j = member.join(sets, "doc_id").join(c, "center")
+    j = j.select("center", "cf", "doc_id", F.array_except("sc", "s").alias("lacks"), F.array_except("s", "sc").alias("more"), ((cfg.den - cfg.num) * F.size("sc")).cast("long").alias("k"))
+    j = j.withColumn("w", (cfg.den * F.size("lacks") + cfg.num * F.size("more")).cast("long"))
+    tokens = F.when(F.col("w") * cfg.num <= F.col("k") * (2 * cfg.den + cfg.num), F.concat(F.transform("lacks", lambda x: F.bitwise_not(x)), F.col("more")))
+    return j.select("center", "cf", "doc_id", (F.size("lacks") + F.size("more")).alias("n"), "w", "k", tokens.alias("tokens"))
+
+
+def delta_pairs(d: DataFrame, cfg: Jaccard) -> DataFrame:
+    """Candidates (a, b) of ``deltas`` that aren't both linked with their center, by prefixes over the delta tokens.
+
+    Tokens stand rarest first within their center's group. What near copies have in common are neither their own
+    changes nor, mostly, the places of them, so that the joined lists stay short however large the group is.
+    """
+    c, whole, group = F.col, cfg.num + cfg.den, ["center", "cf"]
+    near = d.where("tokens is not null and n > 0")
+    least = near.where("w > k").groupBy(*group).agg(F.min("w").alias("far"))
+    t = stored(near.join(least, group).select(*group, "doc_id", "n", "w", "k", "far", F.explode("tokens").alias("token")), "delta-tokens")
+    common = t.groupBy(*group, "token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = t.join(common, [*group, "token"]).groupBy(*group, "doc_id", "n", "w", "k", "far").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ranked = ranked.select(*group, "doc_id", "n", "w", "k", "far", F.size("t").alias("held"), F.posexplode("t").alias("pos", "x")).select(*group, "doc_id", "n", "w", "k", "far", c("x.token").alias("token"), (c("pos") + c("n") - c("held")).alias("at"))
+    need = lambda w: F.ceil((c("w") + w - c("k")) / whole)
+    ranked = stored(ranked.where(c("at") <= c("n") - F.when(c("w") > c("k"), need(F.lit(0))).otherwise(need(c("far")))), "delta-prefixes")
+
+    def met(p: DataFrame, q: DataFrame, extra: Column) -> DataFrame:
+        r = F.greatest(F.lit(1), F.ceil((c("p.w") + c("q.w") - c("p.k")) / whole))
+        on = (c("p.center") == c("q.center")) & (c("p.cf") == c("q.cf")) & (c("p.token") == c("q.token")) & extra
+        on &= (c("p.at") <= c("p.n") - r) & (c("q.at") <= c("q.n") - r)
+        j = p.alias("p").join(q.alias("q"), on)
+        return j.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b"))
+
+    out, linked = ranked.where("w > k"), ranked.where("w <= k")
+    short = out.where(c("at") <= c("n") - need(c("far")))
+    return met(short, short, c("p.doc_id") < c("q.doc_id")).unionByName(met(out, linked, c("p.doc_id") != c("q.doc_id"))).distinct()
+
+
 def links(docs: DataFrame, table: DataFrame, cfg: Jaccard) -> DataFrame:
     """Edges (a, b) between representatives of equal sets that have every link's components."""
     classes = table.where("n > 0 and doc_id is not null").groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("doc_id"))
@@ -190,24 +239,45 @@ def links(docs: DataFrame, table: DataFrame, cfg: Jaccard) -> DataFrame:
     ranked = stored(prefixes(reps, cfg), "prefixes")
 
     rare = ranked.where(F.col("df") <= cfg.frequent).select("token", "doc_id", "n", "l", "at", "dense")
-    sparse = _pairs(rare, rare, (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.dense") + F.col("q.dense") < 2), cfg)
+    found = _pairs(rare, rare, (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.dense") + F.col("q.dense") < 2), cfg)
 
     dense = stored(ranked.where("dense = 1").select("doc_id").distinct(), "dense")
     few = F.broadcast(dense) if dense.count() <= cfg.broadcast_ids else dense.hint("shuffle_hash")
     whole = shingle_table(docs.join(few, "doc_id", "left_semi"), cfg, every=True).dropDuplicates(["doc_id", "fa", "fb"])
-    again = stored(prefixes(whole, cfg).drop("df", "dense"), "dense-prefixes")
-    center = again.groupBy("token").agg(F.min(F.struct("alone", "doc_id", "n", "l", "at")).alias("p"))
-    star = again.alias("q").join(center, "token").where((F.col("q.doc_id") != F.col("p.doc_id")) & _meet("p", "q", cfg))
-    star = star.select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b"))
-    found = stored(sparse.unionByName(star).distinct(), "candidates")
-    first = stored(verified(found, docs, cfg), "links")
+    again = stored(prefixes(whole, cfg).drop("dense"), "dense-prefixes")
+    rest = again.where(F.col("df") <= cfg.frequent).drop("df", "alone")
+    hot = again.where(F.col("df") > cfg.frequent).drop("df")
+    ids = stored(hot.select("doc_id").distinct(), "hot")
+    few = F.broadcast(ids) if ids.count() <= cfg.broadcast_ids else ids.hint("shuffle_hash")
+    sets = stored(whole_sets(docs.join(few, "doc_id", "left_semi"), cfg).dropDuplicates(["doc_id", "fa", "fb"]).drop("fb"), "hot-sets")
+    near = None
+    for _ in range(cfg.pivots):
+        size = hot.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("alone", "doc_id"))["doc_id"].alias("center"))
+        placed = stored(hot.join(size, "token"), "centers")
+        rest = rest.unionByName(placed.where(F.col("size") <= cfg.frequent).select(*rest.columns))
+        placed = placed.where(F.col("size") > cfg.frequent).drop("size")
+        hot = placed.drop("center")
+        if placed.isEmpty():
+            break
+        d = stored(deltas(placed.select("center", "doc_id").distinct(), sets, cfg), "deltas")
+        star = d.where("w <= k and center <> doc_id").select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b"))
+        near = star if near is None else near.unionByName(star)
+        found = found.unionByName(delta_pairs(d, cfg))
+        far = d.where("w > 2 * k").select("center", "doc_id").distinct()
+        hot = stored(placed.join(far, ["center", "doc_id"], "left_semi").drop("center"), "far")
+        if hot.count() > cfg.useful * placed.count():
+            break
+    rest = rest.unionByName(hot.select(*rest.columns))
+    found = stored(found.distinct(), "candidates")
+    first = verified(found, docs, cfg)
+    first = stored(first if near is None else first.unionByName(near).distinct(), "links")
 
     comp = components(first)
-    placed = stored(again.join(comp, again["doc_id"] == comp["node"], "left").select("token", "doc_id", "n", "l", "at", F.coalesce("component", "doc_id").alias("comp")), "placed")
+    placed = stored(rest.join(comp, rest["doc_id"] == comp["node"], "left").select("token", "doc_id", "n", "l", "at", F.coalesce("component", "doc_id").alias("comp")), "placed")
     split = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     left = placed.join(split, "token", "left_semi")
-    rest = stored(_pairs(left, left, F.col("p.comp") < F.col("q.comp"), cfg).join(found, ["a", "b"], "left_anti"), "rest")
-    return first.unionByName(verified(rest, docs, cfg))
+    more = stored(_pairs(left, left, F.col("p.comp") < F.col("q.comp"), cfg).join(found, ["a", "b"], "left_anti"), "rest")
+    return first.unionByName(verified(more, docs, cfg))
 
 
 def link_counts(docs: DataFrame, classes: DataFrame, cfg: Jaccard) -> DataFrame:

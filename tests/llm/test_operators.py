@@ -73,6 +73,36 @@ def test_jaccard_links(spark, docs, texts, lane):
     assert got == want | {None: None}
 
 
+def test_jaccard_of_a_large_group_just_below_the_threshold(spark, monkeypatch):
+    """2,000 edits of one text that mostly don't link with each other: right components, and candidates far fewer than pairs."""
+    g = random.Random(8)
+    words = [f"v{i}" for i in range(3000)]
+    base = g.choices(words, k=130)
+    texts = []
+    for _ in range(2000):
+        w = base[:]
+        for p in g.sample(range(len(w)), g.choice((3, 4, 5))):
+            w[p] = g.choice(words)
+        texts.append(" ".join(w))
+    names: dict = {}
+    sets = [[names.setdefault(x, len(names)) for x in shingles(t, 4)] for t in texts]
+    m = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, s] = 1
+    n, both = m.sum(1), m @ m.T
+    link = 100 * both >= 85 * (n[:, None] + n - both)
+    label = np.arange(len(sets))
+    while (new := np.where(link, label, len(sets)).min(1)).tolist() != label.tolist():
+        label = new
+    held, whole = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda p, d, c: held.append(p.count()) or whole(p, d, c))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, classes = jaccard_join._placed(d, jaccard_join.Jaccard(words=4, num=85))
+    got = {r.rep: r.component_id for r in classes.collect()}
+    assert got == dict(enumerate(label.tolist()))
+    assert sum(held) < len(texts) ** 2 / 2 / 20
+
+
 def removed(texts, length):
     seen, out = set(), []
     for t in texts:
