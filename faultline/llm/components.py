@@ -24,7 +24,7 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; the component is its least node.
 
     Empty edges give an empty table. Self-loops and null ends are dropped. Each round is stored,
@@ -32,13 +32,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     last = None
-    for _ in range(most_rounds):
+    while True:
         now = stored(_star(_star(now, True), False), "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == last:
             break
         last = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
     found = now.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
     return found.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -323,6 +323,20 @@ def test_passages_lie_whole_in_a_window():
         assert all(any(w <= a and a + size <= w + s.window for w in starts) for a in range(n - size + 1))
 
 
+def test_ann_answers_every_length_and_repeated_rows(spark):
+    g = np.random.default_rng(4)
+    rows = [(i, g.standard_normal(12).tolist()) for i in range(300)] + [(i, g.standard_normal(5).tolist()) for i in range(300, 360)] + [(400, [1.0]), (None, [1.0] * 12), (40, [2.0] * 12), (7, [0.5] * 12), (7, [0.5] * 12)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")), 20, 10, confidence=99.0).collect()
+    held: dict = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        held.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    for q, v in rows[300:360:20]:
+        want = sorted(((-float(np.dot(v, w)), i) for i, w in rows if i is not None and i != q and len(w) == 5))[:10]
+        assert held[q] == [(i, round(-s, 9)) for s, i in want]
+    assert sorted(held) == [*range(0, 360, 20)] and all(len(x) == 10 for x in held.values())
+    assert 40 not in [i for i, _ in held[40]]
+
+
 def test_ann_tops_up(spark):
     """One probed list of few vectors: the other lists fill the answer."""
     g = np.random.default_rng(2)
