@@ -1,10 +1,10 @@
 """Mixture-controlled packing: deficit round-robin over source queues, worked out in closed form.
 
-Each source is a queue of tokens served in quanta. Source s with weight w earns credit at rate w and is served a
-quantum whenever its deficit reaches one, so its j-th quantum comes at virtual time (j + 1/2) * quantum / w.
-The order of those times is the round-robin's order with its deficits carried over all windows and partitions;
-how many quanta of every queue come before a given one is a formula, so any partition can place its own
-documents without walking through the windows before.
+Each source is a queue of tokens. Every window is one round: a source's credit grows by its target share of the
+window, it is served as many whole quanta as its credit holds, and the rest is carried into the next window. Credits
+are whole numbers over a cycle of windows, so what a source has been served before any window, and at which window a
+token of its queue comes up, are formulas: any partition places its own documents without walking through the windows
+before. Every window is thus within one quantum of every target until queues run dry.
 """
 
 from __future__ import annotations
@@ -35,6 +35,13 @@ _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Blocks whose classes, cases and compositions all versions of Unicode share; other texts go through the file's own library.
 _KNOWN = ((0x0001, 0x052F), (0x1E00, 0x1EFF), (0x2010, 0x27BF), (0x3000, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF00, 0xFFEF), (0x1F300, 0x1F64F))
 _LAST = 0x20000
+#: How a vocabulary file must say that it finds words for them to be found here (fixed values).
+_FINDS_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
 
 
 def _classes() -> np.ndarray:
@@ -99,9 +106,8 @@ class WordTokenizer:
     zero byte or a code point outside the known ones go through the file's own library.
     """
 
-    def __init__(self, path: str, table: list[tuple[bytes, int]], special: list[str]) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.path, self.special = path, special
+    def __init__(self, text: str, table: list[tuple[bytes, int]], special: list[str]) -> None:
+        self.text, self.special = text, special
         self.merger = tiktoken.Encoding("words", pat_str="[^\0]+\0", mergeable_ranks={b: i for i, (b, _) in enumerate(table)}, special_tokens={})
         self.id_of = np.array([i for _, i in table], "<u4")
         self.closes = np.array([len(b) > 1 and b[-1] == 0 for b, _ in table])
@@ -110,7 +116,7 @@ class WordTokenizer:
     @functools.cached_property
     def own(self) -> Tokenizer:
         """The file's own library, loaded for the first text that needs it."""
-        return Tokenizer.from_file(self.path)
+        return Tokenizer.from_str(self.text)
 
     def _ends(self, cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Where a piece ends: at a change of class, after each number, and after an apostrophe's ending."""
@@ -157,13 +163,37 @@ class WordTokenizer:
         return out
 
 
-_KEPT: dict[str, WordTokenizer] = {}
+class OwnTokenizer:
+    """Ids by the vocabulary file's own library, for files that find words in another way."""
 
+    def __init__(self, text: str) -> None:
+        self.own = Tokenizer.from_str(text)
 
-def _worker_tokenizer(path: str, table: list[tuple[bytes, int]], special: list[str]) -> WordTokenizer:
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def vocabulary(path: str) -> tuple:
+    """The file's text, with its merge table and special tokens if its words can be found here."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    whole = json.loads(text)
+    usual = (whole.get("normalizer"), whole.get("pre_tokenizer")) == _FINDS_WORDS and whole["model"].get("end_of_word_suffix")
+    return (text, *merge_table(path)) if usual else (text,)
+
+
+def tokenizer(text: str, *merges) -> WordTokenizer | OwnTokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return WordTokenizer(text, *merges) if merges else OwnTokenizer(text)
+
+
+_KEPT: dict[str, WordTokenizer | OwnTokenizer] = {}
+
+
+def _worker_tokenizer(path: str, held: tuple) -> WordTokenizer | OwnTokenizer:
     """One for all tasks of a worker process."""
     if path not in _KEPT:
-        _KEPT[path] = WordTokenizer(path, table, special)
+        _KEPT[path] = tokenizer(*held)
     return _KEPT[path]
 
 
@@ -171,13 +201,13 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id"
     """(doc_id, source, ids, n, part, start): ids as little-endian uint32, closed by ``end_id``.
 
     ``part`` is the task and ``start`` the tokens of the same source before it in that task. Null text is empty.
-    Texts are taken in groups of about ``piece`` bytes, or alone if longer. The merges, which only the vocabulary
-    file sizes, are worked out on the driver and broadcast.
+    Texts are taken in groups of about ``piece`` bytes, or alone if longer. The file and its merges are read on
+    the driver and broadcast; only the vocabulary sizes them.
     """
-    merges = docs.sparkSession.sparkContext.broadcast(merge_table(path))
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, at, part = _worker_tokenizer(path, *merges.value), {}, TaskContext.get().partitionId()
+        t, at, part = _worker_tokenizer(path, held.value), {}, TaskContext.get().partitionId()
         for b in batches:
             for i, j in pieces(text_bytes(b.column(1))[1], piece):
                 rows, ids, starts = b.slice(i, j - i), [], []
@@ -193,45 +223,98 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id"
 
 
 class Schedule:
-    """Where the round-robin puts each quantum of each queue."""
-
-    def __init__(self, totals: np.ndarray, weights: np.ndarray, quantum: int) -> None:
-        self.totals, self.weights, self.quantum = totals, weights, quantum
-        self.blocks = -(-totals // quantum)
-
-    def time(self, source: int, block: np.ndarray) -> np.ndarray:
-        return (block + 0.5) * self.quantum / self.weights[source]
-
-    def placed(self, source: int, block: np.ndarray) -> np.ndarray:
-        """Tokens of all queues before the given blocks of one queue; ties go to the earlier queue."""
-        t, out = self.time(source, block), block * self.quantum
-        for s in range(len(self.totals)):
-            if s == source or not self.totals[s]:
-                continue
-            n = np.floor(t * self.weights[s] / self.quantum + 0.5).astype(np.int64)
-            first = (lambda k, s=s: self.time(s, k) < t) if s > source else (lambda k, s=s: self.time(s, k) <= t)
-            for _ in range(2):  # the formula is exact but for rounding
-                n = np.where((n > 0) & ~first(n - 1), n - 1, n)
-                n = np.where(first(n), n + 1, n)
-            out = out + np.minimum(np.clip(n, 0, self.blocks[s]) * self.quantum, self.totals[s])
-        return out
+    """Which window holds each quantum of each queue.
 
+    It is a list of phases: in each the shares stay the same and no queue that takes part runs dry. Without weights
+    the shares are those of what is left, so that all queues last to the end. What never fills a window any more
+    follows at the end, queue after queue.
+    """
 
-def cut(schedule: Schedule, source: np.ndarray, begin: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    def __init__(self, totals: np.ndarray, weights: np.ndarray | None, window: int, quantum: int) -> None:
+        self.window, self.quantum, self.cycle = window, quantum, 256
+        slots, n = window // quantum, len(totals)
+        while self.cycle * slots < 16 * n * n:  # rounding shares to the cycle leaves a sixteenth for the next phase at most
+            self.cycle *= 2
+        left, taken, on, at = totals // quantum, np.zeros(n, np.int64), np.ones(n, bool), 0
+        #: (quanta served before, edges of the shares in quanta per cycle, first window)
+        self.phases: list[tuple[np.ndarray, np.ndarray, int]] = []
+        while (left * on).sum() >= slots:
+            share = np.where(on & (left > 0), left if weights is None else weights, 0).astype(float)
+            a = np.floor(share / share.sum() * slots * self.cycle).astype(np.int64)
+            a[share.argmax()] += slots * self.cycle - a.sum()
+            edges = np.concatenate([[0], np.cumsum(a)])
+            some = np.flatnonzero(a)
+            lasts = self.window_of(edges, some, left[some])
+            k = int(lasts.min())
+            if k:
+                self.phases.append((taken.copy(), edges, at))
+                used = self.served(edges, np.arange(n), np.int64(k))
+                taken, left, at = taken + used, left - used, at + k
+            else:
+                on[some[lasts == 0]] = False
+        self.taken, self.end = taken, at
+        rest = totals - taken * quantum
+        self.tail = at * window + np.cumsum(rest) - rest
+
+    def _edge(self, edge: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return r * (edge // self.cycle) + np.maximum(0, r - self.cycle + edge % self.cycle)
+
+    def served(self, edges: np.ndarray, source: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Quanta of a source in the first k windows of a phase."""
+        turns, r = k // self.cycle, k % self.cycle
+        return turns * (edges[source + 1] - edges[source]) + self._edge(edges[source + 1], r) - self._edge(edges[source], r)
+
+    def window_of(self, edges: np.ndarray, source: np.ndarray, quanta: np.ndarray) -> np.ndarray:
+        """The window of a phase that holds a source's quantum of that number, which is also how many windows so many quanta fill."""
+        per = edges[source + 1] - edges[source]
+        turns, x = quanta // per, quanta % per
+        low, high = np.zeros(len(x), np.int64), np.full(len(x), self.cycle)
+        while (high - low > 1).any():
+            mid = (low + high) // 2
+            fits = self.served(edges, source, mid) <= x
+            low, high = np.where(fits, mid, low), np.where(fits, high, mid)
+        return turns * self.cycle + low
+
+
+def _every(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's numbers first..last, and the row of each."""
+    n = last - first + 1
+    row = np.repeat(np.arange(len(n)), n)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def cut(schedule: Schedule, source: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Pieces of documents at ``begin`` of their queues: document, start, length and global position; neighbours that stay together are one."""
-    q = schedule.quantum
-    count = (begin + n - 1) // q - begin // q + 1
-    doc = np.repeat(np.arange(len(n)), count)
-    block = (begin // q)[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    lo, hi = np.maximum(block * q, begin[doc]), np.minimum((block + 1) * q, (begin + n)[doc])
-    at = np.empty(len(doc), np.int64)
-    for s in np.unique(source):
-        m = source[doc] == s
-        at[m] = schedule.placed(int(s), block[m])
-    at += lo - block * q
-    room = window - at % window
-    over = hi - lo > room
-    doc, lo, at, hi = (np.concatenate(x) for x in ((doc, doc[over]), (lo, (lo + room)[over]), (at, (at + room)[over]), (np.where(over, lo + room, hi), hi[over])))
+    q, window, out = schedule.quantum, schedule.window, []
+    befores = [p[0] for p in schedule.phases] + [schedule.taken]
+    for (first, edges, at), then in zip(schedule.phases, befores[1:], strict=True):
+        lo, hi = np.maximum(begin, first[source] * q), np.minimum(begin + n, then[source] * q)
+        doc = np.flatnonzero(hi > lo)
+        if not len(doc):
+            continue
+        s, lo, hi = source[doc], lo[doc], hi[doc]
+        u0, u1 = lo // q - first[s], (hi - 1) // q - first[s]
+        k0, k1 = schedule.window_of(edges, s, u0), schedule.window_of(edges, s, u1)
+        wide = u1 - u0 <= k1 - k0  # by quanta where windows between them have none
+        row, k = _every(np.where(wide, u0, k0), np.where(wide, u1, k1))
+        some = wide[row]
+        u = k.copy()
+        k[some] = schedule.window_of(edges, s[row][some], u[some])
+        base = schedule.served(edges, s[row], k)
+        a = np.maximum(lo[row], (first[s][row] + np.where(some, u, base)) * q)
+        b = np.minimum(hi[row], (first[s][row] + np.where(some, u + 1, schedule.served(edges, s[row], k + 1))) * q)
+        place = (at + k) * window + (edges[s][row] + k % schedule.cycle) // schedule.cycle * q + a - (first[s][row] + base) * q
+        full = b > a
+        out.append((doc[row][full], a[full], b[full], place[full]))
+    lo, hi = np.maximum(begin, schedule.taken[source] * q), begin + n
+    doc = np.flatnonzero(hi > lo)
+    place = schedule.tail[source[doc]] + lo[doc] - schedule.taken[source[doc]] * q
+    row, k = _every(place // window, (place + hi[doc] - lo[doc] - 1) // window)
+    start = np.maximum(place[row], k * window)
+    stop = np.minimum((place + hi[doc] - lo[doc])[row], (k + 1) * window)
+    shift = (lo[doc] - place)[row]
+    out.append((doc[row], start + shift, stop + shift, start))
+    doc, lo, hi, at = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.lexsort((lo, doc))
     doc, lo, at, hi = doc[order], lo[order], at[order], hi[order]
     new = np.ones(len(lo), bool)
@@ -241,12 +324,16 @@ def cut(schedule: Schedule, source: np.ndarray, begin: np.ndarray, n: np.ndarray
     return doc[first], lo[first] - begin[doc[first]], hi[last] - lo[first], at[first]
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, quantum: int = 256, weights: dict[str | None, float] | None = None, end_id: int = 2, with_ids: bool = False, **columns: str) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 4096, quantum: int = 16, weights: dict[str | None, float] | None = None, end_id: int = 2, with_ids: bool = False, **columns: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, source, ids]), one row per piece.
 
     Every sequence but the last is full, so padding is less than one window. ``weights`` are the target
     proportions; by default each queue's own share, so all queues last to the end. A queue that runs dry leaves
-    its turns to the others. Tokens are made once and stored; what reaches the driver is a row per source.
+    its turns to the others. Tokens are made once and stored; what reaches the driver and every task is a row per
+    source, of some 100 bytes.
+
+    Null and empty texts are the closing id alone; a null source is a queue of its own; repeated rows and rows with
+    a null id are documents of their own; an empty table gives an empty one; other columns are not read.
     """
     if window % quantum:
         raise ValueError("quantum must divide window")
@@ -256,10 +343,10 @@ def pack(docs: DataFrame, path: str, window: int = 4096, quantum: int = 256, wei
     total = held.groupBy("key").agg(F.sum("n").alias("n"), F.first("source").alias("source")).orderBy("key").collect()
     queue = {r.key: i for i, r in enumerate(total)}
     totals = np.array([r.n for r in total], np.int64)
-    share = np.array([float(weights.get(r.source, 0.0)) if weights else float(r.n) for r in total])
-    if (share <= 0).any():
+    share = np.array([float(weights.get(r.source, 0.0)) for r in total]) if weights else None
+    if share is not None and (share <= 0).any():
         raise ValueError("each source needs a weight above 0")
-    schedule = Schedule(totals, share / share.sum() if len(share) else share, quantum)
+    schedule = Schedule(totals, share, window, quantum)
     earlier = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = held.select("part", "key", F.coalesce(earlier, F.lit(0)).alias("before"))
     if held.count() <= 200_000:  # a row per task and source, of some 30 bytes
@@ -272,7 +359,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, quantum: int = 256, wei
             for i in range(0, len(whole), 2000):
                 b = whole.slice(i, 2000)
                 n = b.column(4).to_numpy()
-                doc, lo, length, at = cut(schedule, np.array([queue[k] for k in b.column(2).to_pylist()]), b.column(5).to_numpy(), n, window)
+                doc, lo, length, at = cut(schedule, np.array([queue[k] for k in b.column(2).to_pylist()]), b.column(5).to_numpy(), n)
                 views = [x.as_buffer() for x in b.column(3)]
                 parts = [views[d][4 * a : 4 * (a + m)] for d, a, m in zip(doc.tolist(), lo.tolist(), length.tolist(), strict=True)]
                 crc = np.fromiter(map(zlib.crc32, parts), np.int64, len(parts))

@@ -19,8 +19,11 @@ BATCH_ROWS = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of its own only where none is set, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The shared folder the cluster names; a folder of its own only on one machine, as in tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or "/tmp/checkpoints"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

@@ -138,7 +138,7 @@ def test_packing(docs, texts):
     t = Tokenizer.from_file(tokenizer_path())
     ids = [np.array([*e.ids, 2], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
     at, seqs = dict.fromkeys(range(len(ids)), 0), {}
-    for r in sorted(packing.pack(docs, tokenizer_path(), window=512, quantum=64).collect(), key=lambda r: (r.doc_id, r.start)):
+    for r in sorted(packing.pack(docs, tokenizer_path(), window=512, quantum=32).collect(), key=lambda r: (r.doc_id, r.start)):
         x = ids[r.doc_id]
         assert r.start == at[r.doc_id] and r.doc_tokens == len(x) and r.length > 0
         assert zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32
@@ -151,6 +151,41 @@ def test_packing(docs, texts):
         assert sum(n for _, n in v) == 512 or k == max(seqs)
 
 
+def test_ids_of_another_vocabulary(docs, texts):
+    """A file that finds its words otherwise goes through its own library."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    got = {r.doc_id: r.ids for r in packing.tokenize(docs, path, end_id=50256).collect()}
+    assert got == {i: np.array([*own.encode(t or "", add_special_tokens=False).ids, 50256], "<u4").tobytes() for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("weights", [None, [5, 1, 1, 1, 2, 1, 1, 3, 1, 9, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1]])
+def test_every_window_has_the_target_shares(weights):
+    """20 queues, more than a window of 256 tokens has quanta of 16: each window is within a quantum of each target until a queue runs dry."""
+    g = np.random.default_rng(3)
+    totals, window, q = np.append(g.integers(20_000, 60_000, 19), 37 if weights is None else 30_000), 256, 16
+    s = packing.Schedule(totals, None if weights is None else np.array(weights, float), window, q)
+    got, at, total = np.zeros((int(totals.sum()) // window + 1, 20), np.int64), [], 0
+    for k, n in enumerate(totals):
+        cuts = np.unique(np.append(g.integers(0, n, 200), 0))
+        doc, lo, length, place = packing.cut(s, np.full(len(cuts), k), cuts, np.diff(np.append(cuts, n)))
+        assert (length > 0).all() and length.sum() == n
+        order = np.lexsort((lo, doc))
+        assert (np.concatenate([cuts[doc[order]] + lo[order], [n]])[1:] == (cuts[doc] + lo + length)[order]).all()
+        assert (place // window == (place + length - 1) // window).all()
+        np.add.at(got, (place // window, k), length)
+        at += list(zip(place.tolist(), length.tolist(), strict=True))
+    for p, n in sorted(at):  # gapless
+        assert p == total
+        total += n
+    share = totals / totals.sum() if weights is None else np.array(weights) / sum(weights)
+    main = s.phases[1][2] if len(s.phases) > 1 else s.end
+    assert main > (0.9 if weights is None else 0.1) * len(got)
+    assert np.abs(got[:main] - share * window).max() <= q + 1
+
+
 def test_mixing(docs, texts):
     got = mixing.copies(docs).collect()
     assert len(got) == len(texts)
@@ -164,6 +199,20 @@ def test_mixing(docs, texts):
     assert mixing.mix(docs).count() == sum(r.copies for r in got)
 
 
+def test_mixing_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(i % 6 if i % 7 else None, " ".join(["w"] * (i % 9)), "ab"[i % 2], i, "k", "m") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies long, key string, mark string")
+    d = d.unionByName(d.limit(20))
+    assert mixing.mix(d).columns == d.columns
+    got, times = mixing.mix(d).collect(), mixing.copies(d).agg(F.sum("copies")).first()[0]
+    assert len(got) == times and {tuple(r) for r in got} <= set(rows)
+    held = {r.doc_id: r.n for r in mixing.copies(d).groupBy("doc_id").agg(F.sum(F.col("copies") * F.col("size")).alias("n")).collect()}
+    words: dict = {}
+    for r in got:
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert {k: v for k, v in held.items() if v} == {k: v for k, v in words.items() if v}
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "ü" * 50_000), (None, "u", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -292,7 +341,8 @@ def test_pipeline(spark, docs, tmp_path):
 
 
 def test_ids_are_the_librarys():
-    t, g = packing.WordTokenizer(tokenizer_path(), *packing.merge_table(tokenizer_path())), random.Random(11)
+    t, g = packing.tokenizer(*packing.vocabulary(tokenizer_path())), random.Random(11)
+    assert isinstance(t, packing.WordTokenizer)
     bits = ["'", "'s", "'ll", "'re", "''", "s", "don", "THE", " ", "\n", "\t", "1", "23", "é", "é", "Σ", "ΑΣ", "ß", "İ", "!", "...", "​", "　", "中", "😀", "\0", "<|endoftext|>", "\x85", "\x1c", "٣", "Ⅷ", "͸", "\U000323af", "हिन्दी", "한글", "x" * 300]
     known = [c for a, b in packing._KNOWN for c in range(a, b + 1) if c < 0x3100]
     texts = ["".join(g.choices(bits, k=g.randint(0, 30))) for _ in range(3000)] + ["".join(chr(g.choice(known)) for _ in range(g.randint(0, 40))) for _ in range(3000)]
