@@ -235,6 +235,86 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(bad, rules=(), labels=labels).collect()} == {"block"}
 
 
+def tree_verdicts(pages, depth=8):
+    """The template tree by brute force: page -> (template, purity), labels from the rules."""
+    split = {}
+    for i, url in pages:
+        host, path = url_of(url)
+        segs = [x for x in path.split("/") if x]
+        split[i] = (host, segs if len(segs) <= depth else [*segs[: depth - 1], "/".join(segs[depth - 1 :])], ruled(host, path))
+    at = {i: [""] for i in split}
+    for k in range(depth):
+        kids: dict = {}
+        for i, (host, segs, _) in split.items():
+            if len(segs) > k:
+                kids.setdefault((host, at[i][-1]), []).append(segs[k])
+        for i, (host, segs, _) in split.items():
+            if len(segs) > k:
+                every = kids[host, at[i][-1]]
+                keep = len(set(every)) <= 20 or every.count(segs[k]) * 20 >= len(every)
+                at[i] = [*at[i], at[i][-1] + "/" + (segs[k] if keep else "*")]
+    held: dict = {}
+    for i, (host, _, r) in split.items():
+        for k, t in enumerate(at[i]):
+            n = held.setdefault((host, k, t), [at[i][k - 1] if k else None, 0, 0])
+            n[1] += r == "block"
+            n[2] += r is not None
+    purity = {}
+    for (host, k, t), (parent, b, n) in sorted(held.items(), key=lambda x: x[0][1]):
+        if k and n >= 5:
+            pool = []
+            for (h2, k2, _), (p2, b2, n2) in held.items():
+                if (h2, k2, p2) == (host, k, parent) and n2 >= 5:
+                    p = (b + b2 + 1) / (n + n2 + 2)
+                    if (b * n2 - b2 * n) ** 2 < 3.84 * p * (1 - p) * n * n2 * (n + n2):
+                        pool.append((b2, n2))
+            b, n = map(sum, zip(*pool, strict=True))
+        purity[host, k, t] = (b + 4 * (purity[host, k - 1, parent] if k else 0.25)) / (n + 4)
+    return {i: (at[i][-1], purity[split[i][0], len(at[i]) - 1, at[i][-1]]) for i in split}
+
+
+def url_of(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    path = rest[cut:]
+    return rest[:cut].lower(), path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+
+
+def ruled(host, path):
+    fit = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return None if not fit else "block" if max(fit, key=lambda r: len(r.host) + len(r.path)).block else "allow"
+
+
+def test_url_tree(spark, tmp_path):
+    """Against the tree by brute force and against the query's SQL: deep paths, ties, repeated rows, hosts without labels."""
+    import duckdb
+
+    from faultline.llm import oracles, queries
+
+    g = random.Random(6)
+    hosts = [f"{a}.example.{b}" for a in ("a", "b.c", "d") for b in ("com", "net", "org")] + ["other.de", "example.com"]
+    pages = []
+    for i in range(3000):
+        segs = [g.choice(["en", "de", "es", "fr"])] + [g.choice(["x", "y", str(g.randrange(300))]) for _ in range(g.choice((0, 1, 1, 2, 3, 12)))]
+        pages.append((i, f"http://{g.choice(hosts)}/{'/'.join(segs)}" + g.choice(("", "/", "?a=/b", "#c"))))
+    pages += [(5000, None), (5001, "no"), (5002, "a://other.de"), (5003, pages[0][1]), (5004, pages[0][1])]
+    d = spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit("x"))
+    got = {r.page_id: r for r in url_filter.judge(d).collect()}
+    want = tree_verdicts(pages)
+    assert {i: (r.template, round(r.purity, 9)) for i, r in got.items()} == {i: (t, round(p, 9)) for i, (t, p) in want.items()}
+    free = [r for r in got.values() if r.rule is None]
+    assert {r.verdict for r in free} == {"allow", "block"}
+    assert all(r.verdict == ("block" if want[r.page_id][1] >= 0.5 else "allow") for r in free)
+    d.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as from '{tmp_path}/pages.parquet/*.parquet'")
+    cols = "page_id, host, path, rule, verdict"
+    sql = sorted(con.execute(f"select {cols} from ({oracles.OP7})").fetchall(), key=str)
+    assert sql == sorted((tuple(r) for r in queries.op7_url_filter(spark, str(tmp_path)).select(*cols.split(", ")).collect()), key=str)
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     g = np.random.default_rng(1)
