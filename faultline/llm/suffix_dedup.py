@@ -24,6 +24,8 @@ from faultline.llm.shared import BYTE_CODE, lists, mix, pieces, powers, stored,
 U64 = np.uint64
 GRAM = 32
 _POSITION_BITS = U64(22)
+#: Triggers with more different phrases are dealt by string; a phrase has at most ``length`` - GRAM + 1 starts.
+HEAVY = 500
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -155,15 +157,14 @@ def phrase_places(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), "key long, ctx long, doc_id long, lo long, hi long, again boolean")
 
 
-def dictionary_repeats(entries: DataFrame, length: int) -> DataFrame:
+def dictionary_repeats(entries: DataFrame, length: int, most: int = 60_000) -> DataFrame:
     """(doc_id, lo, hi) of starts whose string also starts earlier, from phrases (key, doc_id, lo, bytes) sorted by key and place.
 
-    The suffixes of a trigger's phrases are sorted with those of other triggers in one suffix array of a
-    bounded number of suffixes; a trigger with more is sorted in runs, of which the distinct strings stay.
+    The suffixes of a trigger's phrases are sorted with those of other triggers in one suffix array of about
+    ``most`` suffixes; no trigger has more than ``HEAVY`` phrases here.
     """
-    most = 60_000
 
-    def repeats(bits: list[tuple[int, int, int, bytes]], seen: np.ndarray | None):
+    def repeats(bits: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         """Suffix array of the phrases' starts, cut off at ``length`` bytes, in corpus order where equal."""
         text = np.frombuffer(b"".join(x[3] for x in bits), np.uint8)
         n = np.array([len(x[3]) - length + 1 for x in bits])
@@ -171,16 +172,12 @@ def dictionary_repeats(entries: DataFrame, length: int) -> DataFrame:
         owner = np.repeat(np.arange(len(bits)), n)
         start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         suffix = np.lib.stride_tricks.sliding_window_view(text, length)[base[owner] + start]
-        old = 0 if seen is None else len(seen)
-        suffix = np.ascontiguousarray(suffix if seen is None else np.concatenate([seen, suffix])).view(f"V{length}").ravel()
-        words = np.ascontiguousarray(np.pad(suffix.view(np.uint8).reshape(-1, length), ((0, 0), (0, -length % 8)))).view(">u8").astype(U64)
+        words = np.ascontiguousarray(np.pad(suffix, ((0, 0), (0, -length % 8)))).view(">u8").astype(U64)
         order = np.lexsort(words.T[::-1])  # stable, and phrases came in corpus order
         equal = np.zeros(len(order), bool)
         equal[1:] = (words[order[1:]] == words[order[:-1]]).all(1)
         dup = np.zeros(len(order), bool)
         dup[order] = equal
-        kept = suffix[~dup].view(np.uint8).reshape(-1, length)
-        dup = dup[old:]
         new = dup.copy()
         new[1:] &= ~dup[:-1] | (owner[1:] != owner[:-1])
         end = dup.copy()
@@ -188,39 +185,52 @@ def dictionary_repeats(entries: DataFrame, length: int) -> DataFrame:
         a, b = np.flatnonzero(new), np.flatnonzero(end)
         place = np.array([x[2] for x in bits], np.int64)[owner] + start
         ids = np.array([x[1] for x in bits], np.int64)[owner]
-        return (ids[a], place[a], place[b]), kept
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[a], place[a], place[b])], ["doc_id", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, size, seen = [], 0, None
-
-        def batch(x) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], ["doc_id", "lo", "hi"])
-
+        bits, size = [], 0
         for b in batches:
-            for key, doc, lo, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bits and key != bits[-1][0] and (size >= most or seen is not None):
-                    found, _ = repeats(bits, seen)
-                    yield batch(found)
-                    bits, size, seen = [], 0, None
-                elif size >= 2 * most:  # runs of whole groups before this key, then the key's own
-                    whole = [x for x in bits if x[0] != key]
-                    if whole:
-                        found, _ = repeats(whole, None)
-                        yield batch(found)
-                        bits = [x for x in bits if x[0] == key]
-                    found, seen = repeats(bits, seen if not whole else None)
-                    yield batch(found)
+            for entry in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bits and entry[0] != bits[-1][0] and size >= most:
+                    yield repeats(bits)
                     bits, size = [], 0
-                if bits and bits[-1] == (key, doc, lo, raw):  # a repeated row
+                if bits and bits[-1] == entry:  # a repeated row
                     continue
-                bits.append((key, doc, lo, raw))
-                size += len(raw) - length + 1
+                bits.append(entry)
+                size += len(entry[3]) - length + 1
         if bits:
-            yield batch(repeats(bits, seen)[0])
+            yield repeats(bits)
 
     return entries.mapInArrow(tidy(run), "doc_id long, lo long, hi long")
 
 
+def string_repeats(phrases: DataFrame, length: int) -> DataFrame:
+    """As ``dictionary_repeats``, for the phrases of heavy triggers: each string is known by its trigger and its own hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 2000):
+                part = b.slice(i, 2000)
+                data, offsets = text_bytes(part.column(3))
+                up, down = powers(len(data) + 1)
+                total = np.zeros(len(data) + 1, U64)
+                with np.errstate(over="ignore"):
+                    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=total[1:])
+                n = np.diff(offsets) - length + 1
+                row = np.repeat(np.arange(len(n)), n)
+                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = offsets[row] + start
+                with np.errstate(over="ignore"):
+                    h = mix((total[at + length] - total[at]) * down[at])
+                who = pa.array(row)
+                place = part.column(2).to_numpy()[row] + start
+                yield pa.RecordBatch.from_arrays([part.column(0).take(who), pa.array(h.view(np.int64)), part.column(1).take(who), pa.array(place)], ["key", "hash", "doc_id", "at"])
+
+    t = stored(phrases.mapInArrow(tidy(run), "key long, hash long, doc_id long, at long"), "strings")
+    first = t.groupBy("key", "hash").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return t.join(first, ["key", "hash"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
+
+
 def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, spans): sorted disjoint byte ranges [a, b) of each text to remove, from ``docs(doc_id, text)``; texts without any are left out."""
     d = docs.where(F.octet_length("text") >= length)
@@ -233,7 +243,7 @@ def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
     once = places.where("differ and not again").select("key", "ctx", "doc_id", "lo", "hi")
     first = stored(once.groupBy("key", "ctx").agg(F.min("doc_id").alias("first")), "first")
     known = stored(once.join(first, ["key", "ctx"]), "known")
-    look = known.where("doc_id = first").groupBy("doc_id").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("look"))
+    heavy = stored(first.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("key"), "heavy")
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,9 +258,19 @@ def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "doc_id", "lo", "raw"])
                     held, size = [], 0
 
-    entries = d.join(look.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "look").mapInArrow(tidy(phrases), "key long, doc_id long, lo long, raw binary")
-    inside = dictionary_repeats(entries.repartition("key").sortWithinPartitions("key", "doc_id", "lo"), length)
-    starts = whole.unionByName(known.where("doc_id > first").select("doc_id", "lo", "hi")).unionByName(inside)
+    def entries(some: DataFrame) -> DataFrame:
+        """(key, doc_id, lo, raw) of the first of each different phrase."""
+        look = some.groupBy("doc_id").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("look"))
+        return d.join(look.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "look").mapInArrow(tidy(phrases), "key long, doc_id long, lo long, raw binary")
+
+    lead = known.where("doc_id = first").select("key", "doc_id", "lo", "hi")
+    starts = whole.unionByName(known.where("doc_id > first").select("doc_id", "lo", "hi"))
+    if heavy.isEmpty():
+        light = lead
+    else:
+        light = lead.join(heavy, "key", "left_anti")
+        starts = starts.unionByName(string_repeats(entries(lead.join(heavy, "key", "left_semi")), length))
+    starts = starts.unionByName(dictionary_repeats(entries(light).repartition("key").sortWithinPartitions("key", "doc_id", "lo"), length))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,7 +293,8 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
 
     Every byte covered by a ``length``-byte string that also starts earlier (smaller doc_id, or earlier in the
     same text) is removed; matches stay within a document and are judged on the input. Null text is empty. Rows
-    with a null id are kept whole and match nothing; rows that repeat an id count as one place in the order.
+    with a null id are kept whole and match nothing; rows that repeat an id count as one place in the order. Ids are
+    whole numbers, or texts that read as such; others are an error. Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = stored(repeated(d.where("doc_id is not null"), length), "spans")
@@ -305,7 +326,7 @@ def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     Where a cut falls inside a character, what is left of the character goes too.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = stored(repeated(d.where("doc_id is not null"), length), "spans").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    spans = stored(repeated(d.where("doc_id is not null"), length), "spans")
     at, schema = docs.columns.index(text_col), docs.schema
     big = pa.types.is_large_string
 
@@ -325,5 +346,7 @@ def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
             cols[at] = pa.array(kept, pa.large_string() if big(texts.type) else pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    joined = docs.join(spans.hint("shuffle_hash"), docs[id_col] == spans["_id"], "left")
-    return joined.select(*[docs[c] for c in docs.columns], "_spans").mapInArrow(tidy(run), schema)
+    # By place and not by name, so that no column of theirs can clash with the names here.
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    joined = rows.join(spans.hint("shuffle_hash"), rows[f"c{docs.columns.index(id_col)}"].cast("long") == spans["doc_id"], "left")
+    return joined.select(*rows.columns, "spans").mapInArrow(tidy(run), schema)

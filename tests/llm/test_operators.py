@@ -132,6 +132,38 @@ def test_suffix_dedup_long_text_and_repeated_rows(spark):
     assert [r.n_removed for r in got if r.doc_id is None] == [0]
 
 
+@pytest.mark.parametrize("heavy", [2, 500])
+def test_one_trigger_in_all_texts(spark, monkeypatch, heavy):
+    """A short passage between different neighbours: its triggers have as many phrases as there are texts."""
+    g = random.Random(9)
+    core = "".join(g.choices("abcdefgh ", k=90))
+    texts = ["".join(g.choices("xyz ", k=g.randint(5, 60))) + core[: g.choice((70, 90))] + "".join(g.choices("pq", k=2)) + "".join(g.choices("rst ", k=60)) for _ in range(800)]
+    texts += [texts[3] + texts[3], texts[5][20:], None, "", core * 3]
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(d).collect()} == dict(enumerate(removed(texts, 100)))
+
+
+def test_suffix_dedup_of_a_text_above_four_megabytes(spark):
+    g = np.random.default_rng(7)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz      ", np.uint8)
+    raw = letters[g.integers(0, 32, 4_700_000)].tobytes().decode()
+    seam = 4_194_303
+    long = raw[:seam] + raw[1000:1500] + raw[seam:] + raw[seam - 150 : seam + 150]
+    rows = [(1, long), (2, raw[seam - 400 : seam])]
+    got = {r.doc_id: (r.n_bytes, r.n_spans, r.n_removed) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n, spans, gone = got[1]
+    assert n == len(long) and spans == 2 and 500 + 150 + 150 <= gone <= 500 + 150 + 150 + 20
+    assert got[2] == (400, 1, 400)
+
+
+def test_columns_that_clash(spark):
+    text = "word " * 60
+    d = spark.createDataFrame([(1, text, 1, "a", "b"), (2, "x" + text, 2, "c", "d"), (None, text, 3, "e", None)], "doc_id long, text string, _spans int, spans string, doc string")
+    got = {r.spans: r for r in suffix_dedup.remove(d).collect()}
+    assert suffix_dedup.remove(d).columns == d.columns and got["e"].text == text and len(got["c"].text) < 101 and (got["c"]._spans, got["c"].doc) == (2, "d")
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
