@@ -65,12 +65,13 @@ def fold_of(doc_id: Column, mod: int) -> Column:
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; null is empty."""
+    """Bytes and offsets of a string or binary column; null is empty."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if len(a) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    a = a.fill_null("") if a.null_count else a
-    a = a.cast(pa.large_string())
+    kind = pa.large_binary() if pa.types.is_binary(a.type) or pa.types.is_large_binary(a.type) else pa.large_string()
+    a = a.cast(kind)
+    a = a.fill_null(pa.scalar(b"" if kind == pa.large_binary() else "", kind)) if a.null_count else a
     _, offsets, data = a.buffers()
     o = np.frombuffer(offsets, np.int64, len(a) + 1, a.offset * 8)
     d = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -137,7 +137,7 @@ def test_one_trigger_in_all_texts(spark, monkeypatch, heavy):
     """A short passage between different neighbours: its triggers have as many phrases as there are texts."""
     g = random.Random(9)
     core = "".join(g.choices("abcdefgh ", k=90))
-    texts = ["".join(g.choices("xyz ", k=g.randint(5, 60))) + core[: g.choice((70, 90))] + "".join(g.choices("pq", k=2)) + "".join(g.choices("rst ", k=60)) for _ in range(800)]
+    texts = ["".join(g.choices("xyzé ", k=g.randint(5, 60))) + core[: g.choice((70, 90))] + "".join(g.choices("pq", k=2)) + "".join(g.choices("rst ", k=60)) for _ in range(800)]
     texts += [texts[3] + texts[3], texts[5][20:], None, "", core * 3]
     monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
