@@ -24,8 +24,9 @@ from faultline.llm.shared import BYTE_CODE, lists, mix, pieces, powers, stored,
 U64 = np.uint64
 GRAM = 32
 _POSITION_BITS = U64(22)
-#: Triggers with more different phrases are dealt by string; a phrase has at most ``length`` - GRAM + 1 starts.
-HEAVY = 500
+#: Triggers with more different phrases are dealt by string. A phrase has at most ``length`` - GRAM + 1 starts, so one
+#: sort holds at most some 300,000 suffixes of ``length`` bytes.
+HEAVY = 4000
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -265,12 +266,12 @@ def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
 
     lead = known.where("doc_id = first").select("key", "doc_id", "lo", "hi")
     starts = whole.unionByName(known.where("doc_id > first").select("doc_id", "lo", "hi"))
-    if heavy.isEmpty():
-        light = lead
-    else:
-        light = lead.join(heavy, "key", "left_anti")
-        starts = starts.unionByName(string_repeats(entries(lead.join(heavy, "key", "left_semi")), length))
-    starts = starts.unionByName(dictionary_repeats(entries(light).repartition("key").sortWithinPartitions("key", "doc_id", "lo"), length))
+    light = entries(lead)
+    if not heavy.isEmpty():
+        every = stored(light, "entries")
+        light = every.join(heavy, "key", "left_anti").select(*every.columns)
+        starts = starts.unionByName(string_repeats(every.join(heavy, "key", "left_semi").select(*every.columns), length))
+    starts = starts.unionByName(dictionary_repeats(light.repartition("key").sortWithinPartitions("key", "doc_id", "lo"), length))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -132,7 +132,7 @@ def test_suffix_dedup_long_text_and_repeated_rows(spark):
     assert [r.n_removed for r in got if r.doc_id is None] == [0]
 
 
-@pytest.mark.parametrize("heavy", [2, 500])
+@pytest.mark.parametrize("heavy", [2, 4000])
 def test_one_trigger_in_all_texts(spark, monkeypatch, heavy):
     """A short passage between different neighbours: its triggers have as many phrases as there are texts."""
     g = random.Random(9)
