@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Severity, criticality, dependency and single-source scales.
-SEVERITY = {"1": 0.20, "2": 0.40, "3": 0.60, "4": 0.80, "5": 1.00, "low": 0.25, "medium": 0.50, "high": 0.75, "critical": 1.00, "minor": 0.25, "moderate": 0.50, "severe": 0.85, "catastrophic": 1.00, "unknown": 0.50}
+SEVERITY = {"1": 0.20, "2": 0.40, "3": 0.60, "4": 0.80, "5": 1.00, "1.0": 0.20, "2.0": 0.40, "3.0": 0.60, "4.0": 0.80, "5.0": 1.00, "low": 0.25, "medium": 0.50, "high": 0.75, "critical": 1.00, "minor": 0.25, "moderate": 0.50, "severe": 0.85, "catastrophic": 1.00, "unknown": 0.50}
 CRITICALITY = {"low": 0.25, "medium": 0.50, "high": 0.85, "critical": 1.00, "tier-3": 0.35, "tier-2": 0.65, "tier-1": 1.00, "tier 3": 0.35, "tier 2": 0.65, "tier 1": 1.00, "non-critical": 0.25, "core": 0.85, "essential": 1.00, "unknown": 0.40}
 DEPENDENCY = {"low": 0.25, "medium": 0.50, "high": 0.85, "critical": 1.00, "none": 0.00, "indirect": 0.35, "direct": 0.75, "sole": 1.00, "unknown": 0.50}
+SINGLE_SOURCE = {"true": 1.00, "yes": 1.00, "1": 1.00, "single": 1.00, "sole": 1.00, "false": 0.00, "no": 0.00, "0": 0.00, "dual": 0.00, "multi": 0.00, "unknown": 0.30}
+# The scales of the four-factor score.
+SEVERITY4 = {"1": 0.20, "2": 0.40, "3": 0.60, "4": 0.80, "5": 1.00, "low": 0.25, "medium": 0.50, "high": 0.75, "critical": 1.00}
+DEPENDENCY4 = {"low": 0.25, "medium": 0.50, "high": 1.00, "critical": 1.00}
+CRITICALITY4 = {"unknown": 0.40, "low": 0.25, "medium": 0.50, "high": 1.00, "critical": 1.00}
 # Weights of the six factors, zones of exposure, weights of the three models.
 RISK_WEIGHTS = {"severity": 0.25, "exposure": 0.20, "supplier": 0.15, "product": 0.15, "dependency": 0.15, "single": 0.10}
 ZONES = ((25.0, 1.00, "0-25 km"), (100.0, 0.85, "25-100 km"), (250.0, 0.65, "100-250 km"))
@@ -20,7 +27,7 @@ EARTH_KM = 6371.0
 def clean_text(text: Column) -> Column:
     """Tags, links and control characters become spaces; runs collapse; no space before punctuation."""
     t = F.coalesce(text, F.lit(""))
-    for pattern, by in ((r"<[^>]+>", " "), (r"https?://\S+|www\.\S+", " "), (r"[\x00-\x1f\x7f]", " "), (r"\s+", " ")):
+    for pattern, by in ((r"<[^>]+>", " "), (r"https?://\S+|www\.\S+", " "), (r"[\x00-\x1f\x7f]", " "), (r"(?U)\s+", " ")):
         t = F.regexp_replace(t, pattern, by)
     return F.regexp_replace(F.trim(t), r" ([.,!?;:])", "$1")
 
@@ -31,13 +38,27 @@ def normalize_id(value: Column) -> Column:
 
 def has_word(text: Column, word: str) -> Column:
     """Whole-word match of a literal term in lower-cased text."""
-    import re
-
     return text.rlike(rf"\b{re.escape(word)}\b")
 
 
+def whole_words(text: Column, words: tuple[str, ...]) -> Column:
+    """The longest of the terms that stand as whole words at each place of a lower-cased text, in one pass."""
+    terms = "|".join(re.escape(w) for w in sorted(set(words), key=len, reverse=True))
+    return F.regexp_extract_all(text, F.lit(rf"\b(?=({terms})\b)"), 1)
+
+
 def hits(text: Column, words: tuple[str, ...], whole: bool = True) -> Column:
-    return sum(((has_word(text, w) if whole else text.contains(w)).cast("int") for w in words), F.lit(0))
+    """How many of the terms occur, as whole words or anywhere."""
+    if not whole:
+        return sum((text.contains(w).cast("int") for w in words), F.lit(0))
+    # A found term stands also for those that it begins with, such as "freight" in "freight train".
+    also = {w: [v for v in words if v != w and re.match(rf"{re.escape(v)}\b", w)] for w in words}
+    found = whole_words(text, words)
+    each = {w: F.array(*[F.lit(v) for v in (w, *vs)]) for w, vs in also.items() if vs}
+    if not each:
+        return F.size(F.array_distinct(found))
+    spread = F.flatten(F.transform(found, lambda x: F.coalesce(*[F.when(x == w, a) for w, a in each.items()], F.array(x))))
+    return F.size(F.array_distinct(spread))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -68,15 +89,31 @@ def exponential_decay(distance: Column) -> Column:
 
 
 def factor(value: Column, scale: dict[str, float], default: float = 0.5) -> Column:
-    """A factor in [0, 1]: names by the scale first, then numbers (as they are, of 5, or of 100); null is the default."""
-    text = F.lower(F.trim(value.cast("string")))
+    """A factor in [0, 1]: null is the default, booleans are 1 and 0, names by the scale, then numbers (as they are, of 5, or of 100).
+
+    Numbers beyond are clamped, texts that read as such numbers give the default.
+    """
+    kind, text = F.typeof(value), F.lower(F.trim(value.cast("string")))
     number = text.try_cast("double")
-    out = F.when(number.between(0, 1), number).when((number > 1) & (number <= 5), number / 5).when((number > 5) & (number <= 100), F.round(number / 100, 4)).when(number > 100, F.lit(1.0)).when(number < 0, F.lit(0.0)).otherwise(F.lit(default))
+    beyond = F.when(kind == "string", F.lit(default)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)))
+    out = F.when(number.isNull() | F.isnan(number), F.lit(default)).when(number.between(0, 1), number).when((number > 1) & (number <= 5), F.round(number / 5, 4)).when((number > 5) & (number <= 100), F.round(number / 100, 4)).otherwise(beyond)
     for name, score in scale.items():
         out = F.when(text == name, F.lit(score)).otherwise(out)
+    out = F.when(kind == "boolean", F.when(text == "true", 1.0).otherwise(0.0)).otherwise(out)
     return F.when(value.isNull(), F.lit(default)).otherwise(out)
 
 
+def legacy_factor(value: Column, scale: dict[str, float], default: float = 0.5, strict: bool = True) -> Column:
+    """As the four-factor score reads it: numbers before names, so that severity 1 is 1.0; names first unless ``strict``."""
+    text = F.lower(F.trim(value.cast("string")))
+    number = F.when(F.typeof(value) == "boolean", F.when(text == "true", 1.0).otherwise(0.0)).when(F.typeof(value) != "string", text.try_cast("double"))
+    named = F.lit(None).cast("double")
+    for name, score in scale.items():
+        named = F.when(text == name, F.lit(score)).otherwise(named)
+    scaled = F.when(number.between(0, 1), number).when((number > 1) & (number <= 5), number / 5).when(number.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), number / 100)))
+    return F.coalesce(*((scaled, named) if strict else (named, scaled)), F.lit(default))
+
+
 def band(score: Column, critical: float = 0.75, high: float = 0.60, medium: float = 0.40) -> Column:
     return F.when(score >= critical, "CRITICAL").when(score >= high, "HIGH").when(score >= medium, "MEDIUM").otherwise("LOW")
 

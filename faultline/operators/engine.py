@@ -23,8 +23,11 @@ def duplicate_relationships(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
+    """Distinct trimmed keys of the child that the parent lacks; an empty parent gives none."""
     keys = child.select(F.trim(F.col(child_col).cast("string")).alias("orphan")).where("orphan is not null").distinct()
-    return keys.join(parent.select(F.trim(F.col(parent_col).cast("string")).alias("orphan")).distinct(), "orphan", "left_anti")
+    held = parent.select(F.trim(F.col(parent_col).cast("string")).alias("orphan")).distinct()
+    some = parent.limit(1).select(F.lit(1).alias("_some"))
+    return keys.join(held, "orphan", "left_anti").join(F.broadcast(some)).select("orphan")
 
 
 def missing_cells(df: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def lexicon_relevance(df: DataFrame, text_col: str) -> DataFrame:
     p, e, d = (F.col(x) for x in ("_p", "_e", "_d"))
     lead = F.when(p > 0, 0.50 + 0.15 * F.least(p, F.lit(3))).otherwise(F.lit(0.0))
     both = F.when((e > 0) & (d > 0), 0.40 + 0.05 * F.least(e + d, F.lit(6))).when(p > 0, F.lit(0.20)).when((d >= 2) | (e >= 3), F.lit(0.35)).otherwise(F.lit(0.0))
-    short = F.length(F.trim(F.col(text_col))) < 10
+    short = F.length(F.col(text_col)) < 10
     df = df.withColumn("score", F.when(short, F.lit(0.0)).otherwise(F.round(F.least(lead + both, F.lit(1.0)), 3)))
     return df.withColumn("relevant", ~short & ((F.col("score") >= 0.40) | (p > 0) | ((e >= 1) & (d >= 1)))).drop("_p", "_e", "_d")
 
@@ -65,21 +68,23 @@ def sentences(text: Column) -> Column:
 
 def severity(base: Column, sentence: Column) -> Column:
     s = F.lower(sentence)
-    high = F.when(c.hits(s, lx.STRONGEST, whole=False) > 0, 2).when(c.hits(s, lx.HIGH_TERMS, whole=False) > 0, 1).otherwise(0)
-    low = F.when(c.hits(s, lx.LOW_TERMS, whole=False) > 0, 1).otherwise(0)
+    high = F.when(c.hits(s, lx.STRONGEST) > 0, 2).when(c.hits(s, lx.HIGH_TERMS) > 0, 1).otherwise(0)
+    low = F.when(c.hits(s, lx.LOW_TERMS) > 0, 1).otherwise(0)
     return F.least(F.lit(5), F.greatest(F.lit(1), base + high - low)).cast("int")
 
 
 def extract_events(articles: DataFrame, id_col: str = "article_id", text_col: str = "content") -> DataFrame:
     """The event of each article: the longest whole-word trigger, first listed on ties; articles without one are left out."""
-    rules = [(len(t), -(k * 100 + i), k, t) for k, r in enumerate(lx.EVENT_RULES) for i, t in enumerate(r[3])]
+    rules = sorted(((-len(t), k, i, t) for k, r in enumerate(lx.EVENT_RULES) for i, t in enumerate(r[3])))
+    place = {t: n for n, (*_, t) in reversed(list(enumerate(rules)))}
     text = c.clean_text(F.col(text_col))
-    a = articles.select(F.col(id_col), text.alias("_text")).where(F.length("_text") >= 5).withColumn("_lower", F.lower("_text"))
-    any_ = "|".join(sorted({t for *_, t in rules}))
-    found = F.array_compact(F.array(*[F.when(c.has_word(F.col("_lower"), t), F.struct(F.lit(n).alias("n"), F.lit(o).alias("o"), F.lit(k).alias("k"), F.lit(t).alias("t"))) for n, o, k, t in rules]))
-    a = a.where(F.col("_lower").rlike(rf"\b({any_})\b")).withColumn("_w", F.array_max(found))
+    a = articles.select(F.col(id_col), text.alias("_text")).where(F.length("_text") >= 5)
+    ranks = F.create_map(*[F.lit(x) for t, n in place.items() for x in (t, n)])
+    found = F.array_min(F.transform(c.whole_words(F.lower("_text"), tuple(place)), lambda t: F.element_at(ranks, t)))
+    a = a.withColumn("_n", found).where("_n is not null")
+    a = a.withColumn("_w", F.element_at(F.array(*[F.struct(F.lit(-n).alias("n"), F.lit(k).alias("k"), F.lit(t).alias("t")) for n, k, _, t in rules]), F.col("_n") + 1))
     pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in lx.EVENT_RULES]), F.col("_w.k") + 1)
-    at = F.filter(sentences(F.col("_text")), lambda s: F.lower(s).contains(F.col("_w.t")))
+    at = F.filter(sentences(F.col("_text")), lambda s: F.regexp_like(F.lower(s), F.concat(F.lit(r"\b"), F.col("_w.t"), F.lit(r"\b"))))
     a = a.withColumn("evidence_text", F.when(F.size(at) > 0, at[0]).otherwise(F.substring("_text", 1, 250)))
     return a.select(id_col, pick(0).alias("event_type"), pick(1).alias("event_category"), severity(pick(2), F.col("evidence_text")).alias("severity"), F.round(F.least(F.lit(0.98), 0.75 + F.least(F.col("_w.n"), F.lit(25)) / 100.0), 3).alias("confidence"), F.col("_w.t").alias("trigger"), "evidence_text", c.event_id(F.col(id_col), pick(0), F.col("_w.t"), F.col("evidence_text")).alias("event_id"))
 
@@ -105,20 +110,28 @@ def nearest_site(centers: DataFrame, suppliers: DataFrame, sites: DataFrame) ->
 
 
 def six_factor_risk(df: DataFrame) -> DataFrame:
-    """Adds risk_norm, risk_score, risk_band and primary_driver to columns severity, exposure, supplier, product, dependency, single."""
+    """Adds f_* factors, risk_norm, risk_score, risk_band and primary_driver to columns severity, exposure, supplier, product, dependency, single.
+
+    The band is that of the score before rounding; the driver is the first of the greatest rounded impacts.
+    """
     w = c.RISK_WEIGHTS
-    f = {"severity": c.factor(F.col("severity"), c.SEVERITY), "exposure": c.factor(F.col("exposure"), {}), "supplier": c.factor(F.col("supplier"), c.CRITICALITY), "product": c.factor(F.col("product"), c.CRITICALITY), "dependency": c.factor(F.col("dependency"), c.DEPENDENCY), "single": F.when(F.col("single"), 1.0).otherwise(0.0)}
-    total = sum((F.col(f"f_{k}") * w[k] for k in w), F.lit(0.0))
-    df = df.withColumns({f"f_{k}": v for k, v in f.items()}).withColumn("risk_norm", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 4))
-    top, driver = F.greatest(*[F.col(f"f_{k}") * w[k] for k in w]), F.lit(None).cast("string")
+    f = {"severity": c.factor(F.col("severity"), c.SEVERITY), "exposure": c.factor(F.col("exposure"), {}), "supplier": c.factor(F.col("supplier"), c.CRITICALITY, 0.4), "product": c.factor(F.col("product"), c.CRITICALITY, 0.4), "dependency": c.factor(F.col("dependency"), c.DEPENDENCY), "single": c.factor(F.col("single"), c.SINGLE_SOURCE, 0.0)}
+    total = F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum((F.col(f"f_{k}") * w[k] for k in w), F.lit(0.0))))
+    df = df.withColumns({f"f_{k}": v for k, v in f.items()}).withColumn("_whole", total)
+    impact = {k: F.round(F.col(f"f_{k}") * w[k], 4) for k in w}
+    top, driver = F.greatest(*impact.values()), F.lit(None).cast("string")
     for k in reversed(w):
-        driver = F.when(F.col(f"f_{k}") * w[k] == top, F.lit(k)).otherwise(driver)
-    return df.withColumns({"risk_score": F.round(F.col("risk_norm") * 100, 2), "risk_band": c.band(F.col("risk_norm")), "primary_driver": driver})
+        driver = F.when(impact[k] == top, F.lit(k)).otherwise(driver)
+    return df.withColumns({"risk_norm": F.round("_whole", 4), "risk_score": F.round(F.col("_whole") * 100, 2), "risk_band": c.band(F.col("_whole")), "primary_driver": driver}).drop("_whole")
 
 
-def four_factor_risk(severity_: Column, dependency: Column, criticality: Column, exposure: Column, single: Column) -> tuple[Column, Column]:
-    scale = {"low": 0.25, "medium": 0.50, "high": 1.00, "critical": 1.00, "unknown": 0.40}
-    s = 100 * (0.30 * c.factor(severity_, c.SEVERITY) + 0.25 * c.factor(dependency, scale) + 0.25 * c.factor(criticality, scale) + 0.20 * exposure) + F.when(single, 5.0).otherwise(0.0)
+def four_factor_risk(severity_: Column, dependency: Column, criticality: Column, exposure: Column, single: Column, product: Column | None = None, strict: bool = True) -> tuple[Column, Column]:
+    """Score of 100 and level. Criticality is the mean of the product's and the supplier's where a product is given; ``strict`` as in ``legacy_factor``."""
+    f = lambda x, scale: c.legacy_factor(x, scale, strict=strict)
+    crit = f(criticality, c.CRITICALITY4) if product is None else 0.5 * f(product, c.CRITICALITY4) + 0.5 * f(criticality, c.CRITICALITY4)
+    near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(exposure.try_cast("double"), F.lit(0.5))))
+    alone = F.upper(single.cast("string")).isin("YES", "TRUE", "1")
+    s = (0.30 * f(severity_, c.SEVERITY4) + 0.25 * f(dependency, c.DEPENDENCY4) + 0.25 * crit + 0.20 * near) * 100 + F.when(alone, 5.0).otherwise(0.0)
     s = F.round(F.least(s, F.lit(100.0)), 2)
     return s, c.band(s, 80, 60, 40)
 
@@ -129,14 +142,20 @@ def combined_risk(det: Column, first: Column, second: Column) -> tuple[Column, C
     return norm, F.round(norm * 100, 2), c.band(norm)
 
 
-def alert_reasons(sev: Column, geo: Column, dep: Column, det: Column, single: Column, first: Column | None = None, second: Column | None = None, product: Column | None = None) -> Column:
-    """Reasons in the reference's order; those of the graph scores and of the product only where these are given."""
-    graph = F.when((first >= 0.50) | (second >= 0.50), "Graph propagation from affected upstream nodes") if first is not None and second is not None else F.lit(None).cast("string")
-    essential = F.when(product >= 0.75, "Essential product criticality") if product is not None else F.lit(None).cast("string")
-    r = F.array_compact(F.array(
-        F.when(sev >= 0.70, "High event severity").when(sev >= 0.40, "Moderate event severity"), F.when(geo >= 0.65, "Close geographic proximity").when(geo >= 0.40, "Regional proximity"),
-        F.when(dep >= 0.70, "High supply dependency").when(dep >= 0.45, "Moderate supply dependency"), F.when(det >= 0.60, "High deterministic risk").when(det >= 0.40, "Elevated deterministic risk"), graph, F.when(single, "Single-source supplier"), essential))
-    return F.when(F.size(r) > 0, F.array_join(r, "; ")).otherwise(F.lit("Baseline monitoring"))
+# The reasons of an alert.
+REASONS = (
+    ("High-severity disruption", "Moderate disruption event detected"), ("Geographic exposure detected", "Moderate geographic proximity to event"),
+    ("High dependency relationship", "Direct operational dependency"), ("Elevated deterministic risk", "Moderate baseline heuristic risk"),
+    ("Graph propagation from affected upstream nodes",), ("Single-source sole supplier vulnerability",), ("Essential product criticality",))
+ROUTINE = "Routine baseline operational monitoring"
+
+
+def alert_reasons(sev: Column, geo: Column, dep: Column, det: Column, single: Column, first: Column, second: Column, product: Column) -> Column:
+    """The reasons in their order, joined by semicolons; the routine one if none holds."""
+    steps = [F.when(x >= a, names[0]).when(x >= b, names[1]) for (x, a, b), names in zip(((sev, 0.70, 0.40), (geo, 0.65, 0.40), (dep, 0.70, 0.45), (det, 0.60, 0.40)), REASONS, strict=False)]
+    flags = [F.when(x, names[0]) for x, names in zip(((first >= 0.50) | (second >= 0.50), single, product >= 0.75), REASONS[4:], strict=True)]
+    r = F.array_compact(F.array(*steps, *flags))
+    return F.when(F.size(r) > 0, F.array_join(r, "; ")).otherwise(F.lit(ROUTINE))
 
 
 # --- graph

@@ -39,10 +39,11 @@ def oracle_sql() -> dict[str, str]:
 # --- SQL pieces for the oracles
 
 
-def _scale(x: str, scale: dict[str, float], default: float = 0.5) -> str:
+def _scale(x: str, scale: dict[str, float], default: float = 0.5, text: bool = True) -> str:
     names = " ".join(f"WHEN lower(trim(CAST({x} AS VARCHAR))) = '{k}' THEN {v}::DOUBLE" for k, v in reversed(scale.items()))
     n = f"TRY_CAST(CAST({x} AS VARCHAR) AS DOUBLE)"
-    return f"CASE WHEN {x} IS NULL THEN {default}::DOUBLE {names} WHEN {n} BETWEEN 0 AND 1 THEN {n} WHEN {n} > 1 AND {n} <= 5 THEN {n} / 5 WHEN {n} > 5 AND {n} <= 100 THEN round({n} / 100, 4) WHEN {n} > 100 THEN 1.0 WHEN {n} < 0 THEN 0.0 ELSE {default}::DOUBLE END"
+    beyond = f"{default}::DOUBLE" if text else f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {n}))"
+    return f"CASE WHEN {x} IS NULL THEN {default}::DOUBLE {names} WHEN {n} IS NULL THEN {default}::DOUBLE WHEN {n} BETWEEN 0 AND 1 THEN {n} WHEN {n} > 1 AND {n} <= 5 THEN round({n} / 5, 4) WHEN {n} > 5 AND {n} <= 100 THEN round({n} / 100, 4) ELSE {beyond} END"
 
 
 def _band(x: str, a: float = 0.75, b: float = 0.60, m: float = 0.40) -> str:
@@ -135,9 +136,9 @@ def relevance_keywords(k):
 
 @query(
     f"""WITH h AS (SELECT article_id, content, {_hits("lower(content)", lx.PHRASES, False)} AS p, {_hits("lower(content)", lx.ENTITY_TERMS)} AS e, {_hits("lower(content)", lx.DISRUPTION_TERMS)} AS d FROM news),
-    s AS (SELECT *, CASE WHEN length(trim(content)) < 10 THEN 0.0 ELSE round(least(CASE WHEN p > 0 THEN 0.50::DOUBLE + 0.15::DOUBLE * least(p, 3) ELSE 0.0 END + CASE WHEN e > 0 AND d > 0 THEN 0.40::DOUBLE + 0.05::DOUBLE * least(e + d, 6)
+    s AS (SELECT *, CASE WHEN length(content) < 10 THEN 0.0 ELSE round(least(CASE WHEN p > 0 THEN 0.50::DOUBLE + 0.15::DOUBLE * least(p, 3) ELSE 0.0 END + CASE WHEN e > 0 AND d > 0 THEN 0.40::DOUBLE + 0.05::DOUBLE * least(e + d, 6)
       WHEN p > 0 THEN 0.20::DOUBLE WHEN d >= 2 OR e >= 3 THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE), 3) END::DOUBLE AS score FROM h)
-    SELECT article_id, score, length(trim(content)) >= 10 AND (score >= 0.40 OR p > 0 OR (e >= 1 AND d >= 1)) AS relevant FROM s"""
+    SELECT article_id, score, length(content) >= 10 AND (score >= 0.40 OR p > 0 OR (e >= 1 AND d >= 1)) AS relevant FROM s"""
 )
 def relevance_lexicon(k):
     return op.lexicon_relevance(k.view("news"), "content").select("article_id", "score", "relevant")
@@ -208,7 +209,7 @@ def _risk(k: Catalog) -> DataFrame:
     return op.six_factor_risk(ev.join(_near(k), "location_id").join(s, "supplier_id").join(_supply(k), "supplier_id"))
 
 
-_F6 = {"severity": ("severity", c.SEVERITY), "exposure": ("exposure", {}), "supplier": ("supplier", c.CRITICALITY), "product": ("product", c.CRITICALITY), "dependency": ("dependency", c.DEPENDENCY)}
+_F6 = {"severity": ("severity", c.SEVERITY, 0.5, False), "exposure": ("exposure", {}, 0.5, False), "supplier": ("supplier", c.CRITICALITY, 0.4), "product": ("product", c.CRITICALITY, 0.4), "dependency": ("dependency", c.DEPENDENCY)}
 _RISK = (
     _NEAR
     + ", "
@@ -217,66 +218,70 @@ _RISK = (
     j AS (SELECT ev.*, near.supplier_id, distance_km, exposure, zone, s.criticality AS supplier, s.single_source AS single, product, dependency FROM ev JOIN near ON ev.location_id = near.location_id
       JOIN suppliers s ON s.supplier_id = near.supplier_id JOIN sup ON sup.supplier_id = near.supplier_id),
     f AS (SELECT *, """
-    + ", ".join(f"{_scale(x, m)} AS f_{n}" for n, (x, m) in _F6.items())
+    + ", ".join(f"{_scale(*x)} AS f_{n}" for n, x in _F6.items())
     + """, CASE WHEN single THEN 1.0 ELSE 0.0 END::DOUBLE AS f_single FROM j),
-    risk AS (SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.0::DOUBLE + """
+    whole AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.0::DOUBLE + """
     + " + ".join(f"f_{n} * {w}::DOUBLE" for n, w in c.RISK_WEIGHTS.items())
-    + ")), 4) AS risk_norm FROM f)"
+    + ")) AS total FROM f), risk AS (SELECT *, round(total, 4) AS risk_norm, round(total * 100, 2) AS risk_score, "
+    + _band("total")
+    + " AS risk_band FROM whole)"
 )
 
 
-@query(_RISK + f" SELECT supplier_id, location_id, severity, n_events, risk_norm, round(risk_norm * 100, 2) AS risk_score, {_band('risk_norm')} AS risk_band, zone FROM risk")
+@query(_RISK + f" SELECT supplier_id, location_id, severity, n_events, risk_norm, risk_score, risk_band, zone FROM risk")
 def deterministic_risk6(k):
     return _risk(k).select("supplier_id", "location_id", "severity", "n_events", "risk_norm", "risk_score", "risk_band", "zone")
 
 
-@query(_RISK + f" SELECT supplier_id, location_id, severity, first_event, distance_km, risk_norm, {_band('risk_norm')} AS risk_band FROM risk ORDER BY risk_norm DESC, supplier_id, location_id, severity LIMIT 20")
+@query(_RISK + f" SELECT supplier_id, location_id, severity, first_event, distance_km, risk_norm, risk_band FROM risk ORDER BY risk_norm DESC, supplier_id, location_id, severity LIMIT 20")
 def flagship_top_risks(k):
     return _risk(k).select("supplier_id", "location_id", "severity", "first_event", "distance_km", "risk_norm", "risk_band").orderBy(F.desc("risk_norm"), "supplier_id", "location_id", "severity").limit(20)
 
 
-@query(_RISK + f" SELECT {_band('risk_norm')} AS risk_band, count(*) AS n, CAST(sum(n_events) AS BIGINT) AS events FROM risk GROUP BY 1")
+@query(_RISK + " SELECT risk_band, count(*) AS n, CAST(sum(n_events) AS BIGINT) AS events FROM risk GROUP BY 1")
 def alert_band_counts(k):
     return _risk(k).groupBy("risk_band").agg(F.count("*").alias("n"), F.sum("n_events").alias("events"))
 
 
-_S4 = {"low": 0.25, "medium": 0.50, "high": 1.00, "critical": 1.00, "unknown": 0.40}
-_RISK4 = f"round(least(100 * (0.30 * {_scale('severity', c.SEVERITY)} + 0.25 * {_scale('dependency', _S4)} + 0.25 * {_scale('supplier', _S4)} + 0.20 * exposure) + CASE WHEN single THEN 5.0 ELSE 0.0 END, 100.0), 2)::DOUBLE"
+def _named(x: str, scale: dict[str, float]) -> str:
+    return "CASE lower(" + x + ") " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in scale.items()) + " ELSE 0.5::DOUBLE END"
+
+
+_SEV4 = "CASE WHEN severity <= 1 THEN severity::DOUBLE ELSE severity / 5.0::DOUBLE END"
+_RISK4 = f"round(least((0.30::DOUBLE * {_SEV4} + 0.25::DOUBLE * {_named('dependency', c.DEPENDENCY4)} + 0.25::DOUBLE * (0.5::DOUBLE * {_named('product', c.CRITICALITY4)} + 0.5::DOUBLE * {_named('supplier', c.CRITICALITY4)}) + 0.20::DOUBLE * exposure) * 100 + CASE WHEN single THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END, 100.0::DOUBLE), 2)"
 
 
 @query(_RISK + f", g AS (SELECT supplier_id, location_id, severity, {_RISK4} AS score FROM j) SELECT *, {_band('score', 80, 60, 40)} AS level FROM g")
 def deterministic_risk4(k):
-    score, lev = op.four_factor_risk(F.col("severity"), F.col("dependency"), F.col("supplier"), F.col("exposure"), F.col("single"))
+    """Severities are whole numbers here, read as numbers before names."""
+    score, _ = op.four_factor_risk(F.col("severity"), F.col("dependency"), F.col("supplier"), F.col("exposure"), F.col("single"), F.col("product"))
     return _risk(k).select("supplier_id", "location_id", "severity", score.alias("score")).withColumn("level", c.band(F.col("score"), 80, 60, 40))
 
 
-@query(
+_R = op.REASONS
+_REASONS = f"""concat_ws('; ', CASE WHEN f_severity >= 0.70 THEN '{_R[0][0]}' WHEN f_severity >= 0.40 THEN '{_R[0][1]}' END, CASE WHEN exposure >= 0.65 THEN '{_R[1][0]}' WHEN exposure >= 0.40 THEN '{_R[1][1]}' END,
+      CASE WHEN f_dependency >= 0.70 THEN '{_R[2][0]}' WHEN f_dependency >= 0.45 THEN '{_R[2][1]}' END, CASE WHEN risk_norm >= 0.60 THEN '{_R[3][0]}' WHEN risk_norm >= 0.40 THEN '{_R[3][1]}' END,
+      CASE WHEN first >= 0.50 OR second >= 0.50 THEN '{_R[4][0]}' END, CASE WHEN single THEN '{_R[5][0]}' END, CASE WHEN f_product >= 0.75 THEN '{_R[6][0]}' END)"""
+#: Stand-ins for the two model scores, which need trained weights.
+_MODELS = "m AS (SELECT *, 0.9137::DOUBLE * risk_norm AS first, 0.9571::DOUBLE * risk_norm AS second FROM risk)"
+_ALERTS = (
     _RISK
-    + """, g AS (SELECT supplier_id, location_id, severity, round(least(1.0::DOUBLE, 0.50::DOUBLE * risk_norm + 0.25::DOUBLE * (0.9137::DOUBLE * risk_norm) + 0.25::DOUBLE * (0.9571::DOUBLE * risk_norm)), 4) AS norm,
-    concat_ws('; ', CASE WHEN f_severity >= 0.70 THEN 'High event severity' WHEN f_severity >= 0.40 THEN 'Moderate event severity' END, CASE WHEN exposure >= 0.65 THEN 'Close geographic proximity' WHEN exposure >= 0.40 THEN 'Regional proximity' END,
-      CASE WHEN f_dependency >= 0.70 THEN 'High supply dependency' WHEN f_dependency >= 0.45 THEN 'Moderate supply dependency' END, CASE WHEN risk_norm >= 0.60 THEN 'High deterministic risk' WHEN risk_norm >= 0.40 THEN 'Elevated deterministic risk' END,
-      CASE WHEN single THEN 'Single-source supplier' END) AS reasons FROM risk)
-    SELECT supplier_id, location_id, severity, norm, round(norm * 100, 2) AS score, """
-    + _band("norm")
-    + " AS band, CASE WHEN reasons = '' THEN 'Baseline monitoring' ELSE reasons END AS reasons FROM g"
+    + f""", {_MODELS}, a0 AS (SELECT *, round(least(1.0::DOUBLE, 0.50::DOUBLE * risk_norm + 0.25::DOUBLE * first + 0.25::DOUBLE * second), 4) AS norm, {_REASONS} AS r0 FROM m),
+    al AS (SELECT *, round(norm * 100, 2) AS score, {_band("norm")} AS band, CASE WHEN r0 = '' THEN '{op.ROUTINE}' ELSE r0 END AS reasons FROM a0)"""
 )
-def combined_alerts(k):
-    r = _risk(k)
-    norm, score, band = op.combined_risk(F.col("risk_norm"), 0.9137 * F.col("risk_norm"), 0.9571 * F.col("risk_norm"))
-    return r.select("supplier_id", "location_id", "severity", norm.alias("norm"), score.alias("score"), band.alias("band"), op.alert_reasons(F.col("f_severity"), F.col("exposure"), F.col("f_dependency"), F.col("risk_norm"), F.col("single")).alias("reasons"))
 
 
-@query(
-    _RISK
-    + """, g AS (SELECT supplier_id, location_id, severity, concat_ws('; ', CASE WHEN f_severity >= 0.70 THEN 'High event severity' WHEN f_severity >= 0.40 THEN 'Moderate event severity' END, CASE WHEN exposure >= 0.65 THEN 'Close geographic proximity' WHEN exposure >= 0.40 THEN 'Regional proximity' END,
-      CASE WHEN f_dependency >= 0.70 THEN 'High supply dependency' WHEN f_dependency >= 0.45 THEN 'Moderate supply dependency' END, CASE WHEN risk_norm >= 0.60 THEN 'High deterministic risk' WHEN risk_norm >= 0.40 THEN 'Elevated deterministic risk' END,
-      CASE WHEN 0.9137::DOUBLE * risk_norm >= 0.50 OR 0.9571::DOUBLE * risk_norm >= 0.50 THEN 'Graph propagation from affected upstream nodes' END, CASE WHEN single THEN 'Single-source supplier' END, CASE WHEN f_product >= 0.75 THEN 'Essential product criticality' END) AS reasons FROM risk)
-    SELECT supplier_id, location_id, severity, CASE WHEN reasons = '' THEN 'Baseline monitoring' ELSE reasons END AS reasons FROM g"""
-)
-def alert_reasons_all(k):
-    """With the graph's and the product's reasons, which ``combined_alerts`` and its SQL leave out."""
+def _alert_input(k: Catalog) -> DataFrame:
+    """What alerts are made of: a record for each supplier, place and severity, with the first event there."""
+    return _risk(k).withColumns({"first": 0.9137 * F.col("risk_norm"), "second": 0.9571 * F.col("risk_norm")})
+
+
+@query(_ALERTS + " SELECT supplier_id, location_id, severity, norm, score, band, reasons FROM al")
+def combined_alerts(k):
     n = F.col("risk_norm")
-    return _risk(k).select("supplier_id", "location_id", "severity", op.alert_reasons(F.col("f_severity"), F.col("exposure"), F.col("f_dependency"), n, F.col("single"), 0.9137 * n, 0.9571 * n, F.col("f_product")).alias("reasons"))
+    norm, score, band = op.combined_risk(n, F.col("first"), F.col("second"))
+    reasons = op.alert_reasons(F.col("f_severity"), F.col("exposure"), F.col("f_dependency"), n, F.col("single"), F.col("first"), F.col("second"), F.col("f_product"))
+    return _alert_input(k).select("supplier_id", "location_id", "severity", norm.alias("norm"), score.alias("score"), band.alias("band"), reasons.alias("reasons"))
 
 
 @query(_RISK + ", g AS (SELECT supplier_id, location_id, severity, unnest(['severity','exposure','supplier','product','dependency','single']) AS factor, unnest([f_severity, f_exposure, f_supplier, f_product, f_dependency, f_single]) AS value FROM risk) SELECT *, CASE WHEN value >= 0.75 THEN 'high' WHEN value >= 0.40 THEN 'moderate' ELSE 'low' END AS level FROM g")

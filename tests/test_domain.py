@@ -60,10 +60,44 @@ def test_orphans_of_the_whole_table(spark, tmp_path):
     assert [r.orphan for r in registry.queries()["dq_fk_orphans_all"](spark, str(tmp_path)).collect()] == ["5"]
 
 
-def test_graph_and_product_reasons(spark):
-    low, high = F.lit(0.1), F.lit(0.8)
-    assert one(spark, op.alert_reasons(low, low, low, low, F.lit(False), low, high, high)) == "Graph propagation from affected upstream nodes; Essential product criticality"
-    assert one(spark, op.alert_reasons(low, low, low, low, F.lit(False), low, low, low)) == "Baseline monitoring"
+def test_reasons(spark):
+    low, high, no = F.lit(0.1), F.lit(0.8), F.lit(False)
+    assert one(spark, op.alert_reasons(low, low, low, low, no, low, high, high)) == "Graph propagation from affected upstream nodes; Essential product criticality"
+    assert one(spark, op.alert_reasons(low, low, low, low, no, low, low, low)) == "Routine baseline operational monitoring"
+    want = ["High-severity disruption", "Geographic exposure detected", "High dependency relationship", "Elevated deterministic risk", "Graph propagation from affected upstream nodes"]
+    assert one(spark, op.alert_reasons(high, high, high, high, no, high, low, low)).split("; ") == want
+
+
+@pytest.mark.parametrize(("value", "want"), [(1, 0.2), (1.0, 0.2), ("4.0", 0.8), (True, 1.0), (False, 0.0), ("severe", 0.85), (3.3333, 0.6667), (50, 0.5), ("-3", 0.5), (-3, 0.0), (500, 1.0), ("500", 0.5), ("odd", 0.5), (None, 0.5)])
+def test_factor(spark, value, want):
+    assert one(spark, c.factor(F.lit(value), c.SEVERITY)) == want
+
+
+@pytest.mark.parametrize(("value", "want"), [(1, 1.0), (2, 0.4), ("1", 0.2), ("HIGH", 0.75), (50, 0.5), (-1, 0.0), ("severe", 0.5), (True, 1.0), (None, 0.5)])
+def test_legacy_factor(spark, value, want):
+    assert one(spark, c.legacy_factor(F.lit(value), c.SEVERITY4)) == want
+
+
+def test_band_before_rounding(spark):
+    row = spark.createDataFrame([(0.99984, 1.0, 0.0, 1.0, 1.0, None)], "severity double, exposure double, supplier double, product double, dependency double, single string")
+    got = op.six_factor_risk(row).first()
+    assert (got.risk_norm, got.risk_band, got.primary_driver) == (0.75, "HIGH", "severity")
+    assert op.six_factor_risk(row.withColumn("single", F.lit("Sole"))).first().f_single == 1.0
+
+
+def test_whole_word_severity(spark):
+    assert one(spark, op.severity(F.lit(4), F.lit("A fire near the minority district office"))) == 4
+    assert one(spark, op.severity(F.lit(4), F.lit("A fire severed the cable"))) == 4
+    assert one(spark, op.severity(F.lit(3), F.lit("A minor flood destroyed nothing"))) == 4
+
+
+def test_hits_counts_terms_within_terms(spark):
+    assert one(spark, c.hits(F.lit("the freight train, a freighter and supply chain freight train"), ("freight", "freight train", "train", "supply chain", "chain"))) == 5
+
+
+def test_orphans_of_an_empty_parent(spark):
+    df = spark.createDataFrame([("S1",)], "id string")
+    assert op.orphans(df, "id", df.limit(0), "id").count() == 0
 
 
 def test_graph_measures(spark):
