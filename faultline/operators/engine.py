@@ -41,6 +41,23 @@ def provenance(status: Column) -> Column:
     return F.when(s.isin("SYNTHETIC_DEMO", "SYNTHETIC"), "synthetic").when(s.isin("REAL_DATA", "REAL"), "real").otherwise("unknown")
 
 
+def audit(df: DataFrame, name: str, id_col: str, expected: tuple[str, ...] = ()) -> DataFrame:
+    """One row for a table: rows, ids that repeat, empty cells, columns that are missing, and whether it is valid. Empty cells do not make it invalid."""
+    missing = [x for x in expected if x not in df.columns]
+    cells = sum((F.count_if(F.col(x).isNull()) for x in df.columns), F.lit(0))
+    rows = df.agg(F.count("*").alias("total_rows"), cells.alias("missing_cells"))
+    twice = duplicate_ids(df, id_col).agg(F.count("*").alias("duplicate_ids"))
+    return rows.join(F.broadcast(twice)).select(F.lit(name).alias("file"), "total_rows", "duplicate_ids", "missing_cells", F.lit(", ".join(missing)).alias("missing_columns"), ((F.col("duplicate_ids") == 0) & F.lit(not missing)).alias("is_valid"))
+
+
+def summary(audits: list[DataFrame]) -> DataFrame:
+    """The pack's totals over the audits of its tables."""
+    every = audits[0]
+    for a in audits[1:]:
+        every = every.unionByName(a)
+    return every.agg(F.count("*").alias("files"), F.sum("total_rows").alias("total_rows"), F.sum("duplicate_ids").alias("duplicate_ids"), F.sum("missing_cells").alias("missing_cells"), F.bool_and("is_valid").alias("all_files_valid"))
+
+
 # --- relevance and events
 
 
@@ -202,6 +219,53 @@ def ego_network(edges: DataFrame, node: str, radius: int = 2) -> DataFrame:
     return edges.join(near.withColumnRenamed("node_id", "src"), "src", "left_semi").join(near.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
+def prune(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges between registered nodes."""
+    known = nodes.select("node_id").distinct()
+    return edges.join(known.withColumnRenamed("node_id", "src"), "src", "left_semi").join(known.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
+def shared_product_edges(supplies: DataFrame, most: int = 4) -> DataFrame:
+    """(src, dst): both ways between the first ``most`` suppliers of each product, in id order; the limit is the feature."""
+    w = Window.partitionBy("product_id").orderBy("supplier_id")
+    first = supplies.select("product_id", "supplier_id").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).groupBy("product_id").agg(F.collect_list("supplier_id").alias("s"))
+    pairs = first.select(F.explode("s").alias("src"), "s").select("src", F.explode("s").alias("dst")).where("src <> dst")
+    return pairs.distinct()
+
+
+def topology_risk(base: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, risk) from ``base(node_id, base, centrality)``: 0.60 of the node's own, 0.30 of the mean over itself and its neighbours, 0.10 of its centrality."""
+    own = base.select("node_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "base")).alias("base"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "centrality")).alias("centrality"))
+    both = edges.select("src", "dst").where("src <> dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).where("src <> dst")).distinct()
+    near = both.join(own.select(F.col("node_id").alias("src"), "base"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("base").alias("s"), F.count("*").alias("n"))
+    mean = (F.col("base") + F.coalesce("s", F.lit(0.0))) / (1 + F.coalesce("n", F.lit(0)))
+    risk = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.60 * F.col("base") + 0.30 * mean + 0.10 * F.col("centrality")))
+    return own.join(near, "node_id", "left").select("node_id", F.round(risk, 6).alias("risk"))
+
+
+def smoothness(scores: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: the mean of weight times squared difference over the edges; 0 without edges."""
+    s = scores.select("node_id", "score")
+    j = edges.join(s.select(F.col("node_id").alias("src"), F.col("score").alias("a")), "src").join(s.select(F.col("node_id").alias("dst"), F.col("score").alias("b")), "dst")
+    return j.agg(F.round(F.coalesce(F.avg(F.col("weight") * (F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))), F.lit(0.0)), 6).alias("loss"))
+
+
+def classifier_metrics(scored: DataFrame, cut_at: float = 0.5) -> DataFrame:
+    """One row for ``scored(label, score)``: ROC-AUC with ties as halves, accuracy, precision, recall, F1 and mean absolute error.
+
+    Equal scores are one row before the running counts, so that these pass over distinct scores only.
+    """
+    by = scored.where("label is not null and score is not null").groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    below = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    up = F.col("score") >= cut_at
+    t = by.withColumn("below", below).agg(F.sum("p").alias("P"), F.sum("q").alias("Q"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("U"), F.sum(F.when(up, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(up, F.col("q")).otherwise(0)).alias("fp"), F.sum(F.col("p") * F.abs(1 - F.col("score")) + F.col("q") * F.abs(F.col("score"))).alias("e"))
+    c_, none = F.col, F.lit(0.0)
+    share = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(none)
+    precision, recall = share(c_("tp"), c_("tp") + c_("fp")), share(c_("tp"), c_("P"))
+    r = {"roc_auc": share(c_("U"), c_("P") * c_("Q")), "accuracy": share(c_("tp") + c_("Q") - c_("fp"), c_("P") + c_("Q")), "precision": precision, "recall": recall, "f1": share(2 * precision * recall, precision + recall), "mae": share(c_("e"), c_("P") + c_("Q"))}
+    return t.select(*[F.round(v, 6).alias(k) for k, v in r.items()])
+
+
 def _weighted(edges: DataFrame, side: str) -> DataFrame:
     """(src, dst, w): weights as shares of their sum at ``side``; where that sum is 0 they stay as they are."""
     total = edges.groupBy(side).agg(F.sum("weight").alias("t"))

@@ -57,7 +57,7 @@ def test_quality_operators(spark):
 def test_orphans_of_the_whole_table(spark, tmp_path):
     spark.createDataFrame([(1,), (2,), (5,)], "l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.createDataFrame([(1,), (2,), (3,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
-    assert [r.orphan for r in registry.queries()["dq_fk_orphans_all"](spark, str(tmp_path)).collect()] == ["5"]
+    assert [r.orphan for r in registry.queries()["dq_fk_orphans"](spark, str(tmp_path)).collect()] == ["5"]
 
 
 def test_reasons(spark):
