@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Fitted models, components and tokenizers have no SQL form; the tests hold the stages against brute force.
+#: Fitted models, components and tokenizers have no SQL form; tests hold the operators of stages two to five against brute force.
 ORACLE_SQL: str | None = None
 
 
