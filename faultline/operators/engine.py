@@ -291,14 +291,16 @@ def propagate(edges: DataFrame, shocks: DataFrame, rounds: int | None = None, da
     return now.select("node_id", F.round("r", 4).alias("risk"))
 
 
-def pagerank(edges: DataFrame, rounds: int | None = None, alpha: float = 0.85, limit: int = 100, tol: float = 1e-6) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int | None = None, alpha: float = 0.85, limit: int = 100, tol: float = 1e-6, nodes: DataFrame | None = None, digits: int | None = 6) -> DataFrame:
     """(node_id, rank), weighted, dangling mass spread evenly.
 
     Rounds end after the first whose changes sum to less than ``tol`` times the number of nodes; if ``limit``
     rounds don't reach that, every rank is 1/n, as in the reference. ``rounds`` asks for a fixed number instead.
-    Every round is checkpointed; its summed change is all that reaches the driver.
+    Every round is checkpointed; its summed change is all that reaches the driver. ``nodes(node_id)`` adds nodes
+    without edges, ``digits`` None leaves the ranks unrounded.
     """
-    nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+    ends = edges.select(F.col("src").alias("node_id")).union(edges.select("dst"))
+    nodes = (ends if nodes is None else ends.union(nodes.select("node_id"))).distinct()
     total = edges.groupBy("src").agg(F.sum("weight").alias("t")).where("t <> 0")
     norm = cut(_weighted(edges, "src"))
     size = nodes.agg(F.count("*").alias("n"))
@@ -317,7 +319,7 @@ def pagerank(edges: DataFrame, rounds: int | None = None, alpha: float = 0.85, l
                 break
     if not settled:
         now = now.withColumn("r", 1.0 / F.col("n"))
-    return now.select("node_id", F.round("r", 6).alias("rank"))
+    return now.select("node_id", (F.col("r") if digits is None else F.round("r", digits)).alias("rank"))
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
