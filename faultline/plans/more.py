@@ -171,6 +171,10 @@ _SHARED = "fs AS (SELECT product_id, supplier_id, row_number() OVER (PARTITION B
 
 @query(f"WITH {_SHARED} SELECT src, dst FROM se")
 def supplier_edges(k):
+    return supplier_edges_of(k)
+
+
+def supplier_edges_of(k: Catalog) -> DataFrame:
     return op.shared_product_edges(k.view("supplier_products"))
 
 

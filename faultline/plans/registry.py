@@ -434,4 +434,4 @@ def graph_strong_components(k):
     return connect.strong_components(_edges(k))
 
 
-from faultline.plans import more  # noqa: E402, F401  (adds its queries to the ones here)
+from faultline.plans import models, more  # noqa: E402, F401  (they add their queries to the ones here)
