@@ -21,6 +21,8 @@ RISK_WEIGHTS = {"severity": 0.25, "exposure": 0.20, "supplier": 0.15, "product":
 ZONES = ((25.0, 1.00, "0-25 km"), (100.0, 0.85, "25-100 km"), (250.0, 0.65, "100-250 km"))
 BEYOND, INDETERMINATE = (0.20, ">250 km"), (0.10, "UNKNOWN")
 BLEND = (0.50, 0.25, 0.25)
+# Words that the older linker leaves out of names.
+CORPORATE_WORDS = "inc|incorporated|corp|corporation|llc|ltd|limited|co|company|enterprises|holdings|group|pvt|distributor|suppliers?|logistics|industries"
 EARTH_KM = 6371.0
 
 
@@ -129,3 +131,31 @@ def link_confidence(method: Column, score: Column) -> Column:
 
 def event_id(article: Column, kind: Column, trigger: Column, sentence: Column) -> Column:
     return F.concat(F.lit("EVT_"), F.substring(F.upper(F.sha2(F.concat_ws("_", article, kind, trigger, F.substring(sentence, 1, 50)).cast("binary"), 256)), 1, 8))
+
+
+def context_window(text: Column, start: Column, end: Column, around: int = 150) -> Column:
+    """The text around the characters start to end, counted from 0, with ``around`` more on either side, widened to white space and trimmed; null text is empty."""
+    t = F.coalesce(text, F.lit(""))
+    a, b = F.greatest(F.lit(0), start - around), F.least(F.length(t), end + around)
+    word = lambda x: F.length(F.regexp_extract(x, r"(?U)^(\S*)", 1))
+    a = F.greatest(F.lit(0), a - word(F.reverse(F.substring(t, F.lit(1), a + 1))))
+    b = b + word(F.substring(t, b + 1, F.length(t)))
+    return F.regexp_replace(F.substring(t, a + 1, b - a), r"(?U)^\s+|\s+$", "")
+
+
+def legacy_linking_text(text: Column) -> Column:
+    """Lower-cased, corporate words gone wherever they stand, punctuation as spaces, white space collapsed."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, by in ((rf"\b({CORPORATE_WORDS})\b", ""), (r"[^\w\s]", " "), (r"\s+", " ")):
+        t = F.regexp_replace(t, f"(?U){pattern}", by)
+    return F.trim(t)
+
+
+def status_badge(status: Column) -> Column:
+    s = F.upper(status.cast("string"))
+    return F.when(s.rlike("REAL|LIVE|NEWSAPI"), "LIVE / NEWSAPI").otherwise("DEMO DATA")
+
+
+def band_badge(band: Column) -> Column:
+    b = F.upper(band.cast("string"))
+    return F.when(b.isin("CRITICAL", "HIGH", "MEDIUM"), b).otherwise("LOW")

@@ -108,19 +108,29 @@ def extract_events(articles: DataFrame, id_col: str = "article_id", text_col: st
 
 # --- geography and risk
 
+LANES = 64
+
+
+def lane(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(LANES)).cast("int")
+
+
+def every_lane() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))
+
 
 def nearest_site(centers: DataFrame, suppliers: DataFrame, sites: DataFrame) -> DataFrame:
     """Nearest of headquarters and linked sites for every (location, supplier); headquarters win ties, then the earliest.
 
     The distance depends on the epicentre only, so events join afterwards; the pairs are locations by suppliers,
-    never events by suppliers. Locations are a small dimension and go to every task.
+    never events by suppliers. Sites are dealt into ``LANES`` lanes that each have a copy of the epicentres, so that
+    Spark broadcasts these while they are small and a shuffle is spread over the lanes when they are not.
     """
     hq = suppliers.select("supplier_id", F.lit(None).cast("string").alias("site_id"), F.lit(-1).cast("long").alias("at"), "latitude", "longitude")
     place = centers.select(F.col("location_id").alias("site_id"), F.col("ordinal").alias("at"), "latitude", "longitude")
     every = hq.unionByName(sites.select("supplier_id", F.col("location_id").alias("site_id")).join(place, "site_id").select("supplier_id", "site_id", "at", "latitude", "longitude"))
     e = centers.select("location_id", F.col("latitude").alias("e_lat"), F.col("longitude").alias("e_lon"))
-    e, every = e.withColumn("_k", F.lit(1)), every.withColumn("_k", F.lit(1))
-    grid = every.join(F.broadcast(e) if centers.count() <= 10_000 else e, "_k")
+    grid = every.withColumn("_lane", lane("supplier_id", "site_id")).join(e.withColumn("_lane", every_lane()), "_lane")
     d = c.haversine(F.col("e_lat"), F.col("e_lon"), F.col("latitude"), F.col("longitude"))
     near = grid.withColumn("distance", d).groupBy("location_id", "supplier_id").agg(F.min(F.struct("distance", "at", "site_id")).alias("m"))
     return near.select("location_id", "supplier_id", F.col("m.site_id").alias("site_id"), F.col("m.distance").alias("distance_km"), c.zone(F.col("m.distance"), 1).alias("exposure"), c.zone(F.col("m.distance"), 2).alias("zone"))

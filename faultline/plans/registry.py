@@ -182,9 +182,9 @@ def geo_exposure(k):
     SELECT supplier_id, location_id, CASE WHEN d <= 25 THEN 1.00 WHEN d <= 100 THEN 0.85 WHEN d <= 250 THEN 0.65 WHEN d <= 500 THEN 0.45 WHEN d <= 1000 THEN 0.25 ELSE 0.10 END::DOUBLE AS tiered, round(least(1.0, greatest(0.05, exp(-d / 250))), 4) AS exponential FROM d"""
 )
 def distance_decay(k):
-    s, l_ = k.view("suppliers").alias("s").withColumn("_k", F.lit(1)), k.view("locations").alias("l").withColumn("_k", F.lit(1))
+    s, l_ = k.view("suppliers").withColumn("_lane", op.lane("supplier_id")).alias("s"), k.view("locations").withColumn("_lane", op.every_lane()).alias("l")
     d = c.haversine(F.col("l.latitude"), F.col("l.longitude"), F.col("s.latitude"), F.col("s.longitude"))
-    return s.join(l_, "_k").select("supplier_id", "location_id", d.alias("d")).select("supplier_id", "location_id", c.tiered_decay(F.col("d")).alias("tiered"), c.exponential_decay(F.col("d")).alias("exponential"))
+    return s.join(l_, "_lane").select("supplier_id", "location_id", d.alias("d")).select("supplier_id", "location_id", c.tiered_decay(F.col("d")).alias("tiered"), c.exponential_decay(F.col("d")).alias("exponential"))
 
 
 def _supply(k: Catalog) -> DataFrame:
@@ -434,4 +434,4 @@ def graph_strong_components(k):
     return connect.strong_components(_edges(k))
 
 
-from faultline.plans import models, more  # noqa: E402, F401  (they add their queries to the ones here)
+from faultline.plans import feeds, models, more  # noqa: E402, F401  (they add their queries to the ones here)
