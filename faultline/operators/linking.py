@@ -80,6 +80,19 @@ def _master(master: DataFrame, corporate: bool, aliases: tuple[str, ...]) -> Dat
     return master.select("id", "name", F.lower(F.trim("name")).alias("low"), linking_text(F.col("name"), corporate).alias("norm"), numbers(F.col("name")).alias("nums"), *[v.alias(k) for k, v in more.items()])
 
 
+def _candidates(m: DataFrame, s: DataFrame) -> DataFrame:
+    """Mentions and masters that share a word and whose numbers don't conflict, each pair once.
+
+    Where both have numbers they must share one, so they meet at that number and not at words that every name has.
+    """
+    many = lambda df, x, by, key: df.where(F.size(x) > 0).withColumn(key, F.explode(by))
+    both = many(m, "m_nums", "m_nums", "_n").join(many(s, "nums", "nums", "_n"), "_n").where(F.arrays_overlap("m_words", "words")).drop("_n")
+    words = s.withColumn("_w", F.explode("words"))
+    bare = m.where(F.size("m_nums") == 0).withColumn("_w", F.explode("m_words")).join(words, "_w").drop("_w")
+    rest = many(m, "m_nums", "m_words", "_w").join(words.where(F.size("nums") == 0), "_w").drop("_w")
+    return both.unionByName(bare).unionByName(rest).distinct().drop("m_words", "words")
+
+
 def link(mentions: DataFrame, master: DataFrame, kind: str, threshold: float = 0.55, fuzzy: bool = True) -> DataFrame:
     """(mention, entity_type, linked_id, match_method, match_score, confidence), a row per different mention.
 
@@ -110,8 +123,7 @@ def link(mentions: DataFrame, master: DataFrame, kind: str, threshold: float = 0
     if kind == "PRODUCT":
         found = found.unionByName(hit(named.join(s.where("alias_category <> ''"), named["m_norm"] == s["alias_category"]), 3, F.lit(0.88), "alias"))
     if supplier or fuzzy:
-        words = named.withColumn("word", F.explode(F.array_distinct(F.split("m_norm", " "))))
-        near = words.join(s.withColumn("word", F.explode(F.array_distinct(F.split("norm", " ")))), "word").where(free).drop("word").distinct()
+        near = _candidates(named.withColumn("m_words", F.array_distinct(F.split("m_norm", " "))), s.withColumn("words", F.array_distinct(F.split("norm", " "))))
         if supplier:
             ratio = F.least(F.length("m_norm"), F.length("norm")) / F.greatest(F.length("m_norm"), F.length("norm"))
             inside = F.col("norm").contains(F.col("m_norm")) | F.col("m_norm").contains(F.col("norm"))

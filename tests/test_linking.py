@@ -74,3 +74,27 @@ def test_metrics_and_prune(spark):
     assert op.classifier_metrics(rows.limit(0)).first().roc_auc == 0.0
     e = spark.createDataFrame([("a", "b"), ("a", "x")], "src string, dst string")
     assert [tuple(x) for x in op.prune(e, spark.createDataFrame([("a",), ("b",)], "node_id string")).collect()] == [("a", "b")]
+
+
+def test_entity_risk(spark):
+    s = spark.createDataFrame([("S1", "Acme", "High", "Tier-1", True), ("S2", "Beta", "Low", "Tier-2", False), ("S3", None, None, None, None)], "supplier_id string, supplier_name string, criticality string, tier string, single_source boolean")
+    a = spark.createDataFrame([("A2", "S2", "Beta", 0.2, 0.2, 0.2, "late", "x"), ("A1", "S2", "Beta", 80.0, 0.4, 0.4, "early", "y"), ("A3", "S9", "Gone", 0.5, 0.5, 0.5, "r", "z")], "alert_id string, supplier_id string, supplier_name string, deterministic_risk double, graphsage_risk double, gat_risk double, reasons string, explanation string")
+    got = {r.entity_id: r for r in alerts.entity_risk(a, s).collect()}
+    assert sorted(got) == ["S1", "S2", "S3", "S9"]
+    # 0.30 * 0.5 + 0.25 * 1 + 0.25 * 1 + 0.20 * 0.2, and 5 for the single source
+    one = got["S1"]
+    assert (one.deterministic_risk, one.graphsage_risk, one.gat_risk, one.risk_band, one.active_alerts_count) == (0.74, 0.666, 0.703, "HIGH", 0)
+    assert one.combined_risk == pytest.approx(0.71225, abs=6e-5) and one.reasons.endswith("Single-source sole supplier vulnerability")
+    two = got["S2"]
+    assert (two.deterministic_risk, two.combined_risk, two.risk_band, two.reasons, two.active_alerts_count) == (0.8, 0.6, "HIGH", "early", 2)
+    assert got["S3"].entity_name == "Supplier S3" and "Tier-2" in got["S3"].reasons and got["S9"].combined_risk == 0.5
+
+
+def test_candidates_meet_at_numbers(spark):
+    """A word that every name has doesn't make pairs of names whose numbers differ."""
+    names = spark.createDataFrame([(f"S{i}", f"Vendor {i:05d}") for i in range(300)] + [("T", "Vendor Works")], "id string, name string")
+    s = linking._master(names, True, ()).withColumn("words", F.split("norm", " "))
+    m = s.select(F.col("name").alias("mention"), F.col("norm").alias("m_norm"), F.col("nums").alias("m_nums"), F.col("words").alias("m_words"))
+    assert linking._candidates(m, s).count() == 300 + 2 * 300 + 1
+    both = {(r.mention, r.linked_id, r.match_method) for r in linking.link(spark.createDataFrame([("The Vendor 7",), ("vendor 00007 x",)], "mention string"), names, "SUPPLIER").collect()}
+    assert both == {("The Vendor 7", "S7", "fuzzy"), ("vendor 00007 x", "S7", "alias")}
