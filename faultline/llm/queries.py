@@ -1,4 +1,4 @@
-"""The ten operators' queries over whole tables, and DuckDB SQL where it can say the same."""
+"""The thirteen operators' queries over whole tables, and DuckDB SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, jaccard_join, mixing, packing, quality, suffix_dedup, topk, toxicity, url_filter, warc
+from faultline.llm import ann, divergence, embedding_dedup, hard_negatives, jaccard_join, mixing, packing, quality, suffix_dedup, topk, toxicity, url_filter, warc
 from faultline.llm.shared import fold_of, stored
 
 
@@ -69,5 +69,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"), length=100)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of ``documents``; nulls, empty and long texts, repeated rows and empty tables as in ``divergence.audit``."""
+    return divergence.audit(table(spark, sf_dir, "documents", "lang", "source", "text"), least=30, top=50)
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of ``embeddings``; nulls, repeated ids and empty tables as in ``embedding_dedup.groups``."""
+    return embedding_dedup.groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.98)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of ``embeddings``, every seventh relabelled; nulls, repeated ids and empty tables as in ``hard_negatives.mine``."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), every=100, k_positive=5, k_negative=10, low=30, high=90, scale=256.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_topk, op4_mixing, op5_warc, op6_quality, op7_url_filter, op8_packing, op9_ann, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_topk, op4_mixing, op5_warc, op6_quality, op7_url_filter, op8_packing, op9_ann, op10_suffix_dedup, op11_divergence, op12_embedding_dedup, op13_hard_negatives)}
