@@ -8,7 +8,9 @@ terms that a source uses more than its language, ties in the order of the traver
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,8 @@ from faultline.llm.shared import pieces, stored, text_bytes, tidy
 
 #: Leaves after which a task hands its trie on and starts another; merged leaves of a block; sources of a tile.
 LEAVES, BLOCK, TILE = 250_000, 4_096, 256
-PIECE = 4 << 20
+#: Bytes of text counted at a time, and bytes of neighbouring keys that are compared to find where they part.
+PIECE, SHARED = 8 << 20, 32
 #: What a byte counts as in a term: letters lower-cased, bytes from 128 themselves, 0 for what parts terms.
 SPELLED = np.zeros(256, np.uint8)
 SPELLED[128:] = np.arange(128, 256)
@@ -31,65 +34,85 @@ COUNTS = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
 
 
 class RadixTrie:
-    """Byte strings by shared prefixes. A node is [edge bytes, children by first byte, leaf]; a leaf is [documents, {source: count}]."""
+    """Byte strings by shared prefixes. A node is [edge bytes, children by first byte or None, documents, {source: count} or None where no key ends]."""
 
     def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
+        self.root: list = [b"", None, 0, None]
         self.leaves = 0
 
-    def leaf(self, key: bytes) -> list:
-        """The leaf of ``key``, made where it is missing; an edge that goes another way is split at the last shared byte."""
-        node, at, end = self.root, 0, len(key)
+    def leaf(self, key: bytes, path: list[tuple[int, list]] | None = None) -> list:
+        """The node at which ``key`` ends, made where it is missing; an edge that goes another way is split at the last shared byte.
+
+        ``path`` holds the nodes known to lie on the way with the bytes they consume, and gets the new ones.
+        """
+        path = [(0, self.root)] if path is None else path
+        (at, node), end = path[-1], len(key)
         while at < end:
-            child = node[1].get(key[at])
+            children = node[1]
+            if children is None:
+                children = node[1] = {}
+            child = children.get(key[at])
             if child is None:
-                child = [key[at:], {}, None]
-                node[1][key[at]] = child
-                node = child
-                break
-            edge = child[0]
-            if key.startswith(edge, at):
-                node, at = child, at + len(edge)
-                continue
-            same = 1
-            while same < len(edge) and at + same < end and edge[same] == key[at + same]:
-                same += 1
-            middle = [edge[:same], {edge[same]: child}, None]
-            child[0] = edge[same:]
-            node[1][key[at]] = middle
-            node, at = middle, at + same
-        if node[2] is None:
-            node[2] = [0, {}]
+                node = children[key[at]] = [key[at:], None, 0, None]
+                at = end
+            else:
+                edge = child[0]
+                if key.startswith(edge, at):
+                    node, at = child, at + len(edge)
+                else:
+                    same = 1
+                    while same < len(edge) and at + same < end and edge[same] == key[at + same]:
+                        same += 1
+                    children[key[at]] = node = [edge[:same], {edge[same]: child}, 0, None]
+                    child[0] = edge[same:]
+                    at += same
+            path.append((at, node))
+        return node
+
+    def _count(self, node: list, docs: int, sources: list[str], counts: list[int]) -> None:
+        node[2] += docs
+        held = node[3]
+        if held is None:
             self.leaves += 1
-        return node[2]
-
-    def add(self, key: bytes, docs: int, sources: list[str], counts: list[int]) -> None:
-        leaf = self.leaf(key)
-        leaf[0] += docs
-        held = leaf[1]
-        if not held:
-            held.update(zip(sources, counts, strict=True))
-            return
-        for s, n in zip(sources, counts, strict=True):
-            held[s] = held.get(s, 0) + n
+            node[3] = dict(zip(sources, counts, strict=True))
+        else:
+            for s, n in zip(sources, counts, strict=True):
+                held[s] = held.get(s, 0) + n
+
+    def add(self, key: bytes, docs: int, sources: list[str], counts: list[int]) -> list:
+        node = self.leaf(key)
+        self._count(node, docs, sources, counts)
+        return node
+
+    def add_sorted(self, keys: list[bytes], docs: list[int], cuts: list[int], sources: list[str], counts: list[int]) -> None:
+        """Adds different keys in byte order; each goes on from the last node it shares with the one before. Counters of key i are from cuts[i] on."""
+        start = np.array(keys, f"S{SHARED}")
+        same = start[1:].view(np.uint8).reshape(-1, SHARED) == start[:-1].view(np.uint8).reshape(-1, SHARED)
+        shared = [0, *np.where(same.all(1), SHARED, same.argmin(1)).tolist()]
+        path = [(0, self.root)]
+        for i, key in enumerate(keys):
+            while path[-1][0] > shared[i]:
+                path.pop()
+            a, b = cuts[i], cuts[i + 1]
+            self._count(self.leaf(key, path), docs[i], sources[a:b], counts[a:b])
 
     def merge(self, other: RadixTrie, once: bool = False) -> None:
         """Adds another trie's counters; ``once`` when both are parts of one document, which a leaf counts once."""
-        for key, (docs, held) in other.walk():
-            self.add(key, docs, list(held), list(held.values()))
+        for key, docs, held in other.walk():
+            node = self.add(key, docs, list(held), list(held.values()))
             if once:
-                self.leaf(key)[0] = 1
+                node[2] = 1
 
-    def walk(self) -> Iterator[tuple[bytes, list]]:
-        """(key, leaf) in the order of bytes, which is that of UTF-8."""
+    def walk(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
+        """(key, documents, counts) in the order of bytes, which is that of UTF-8."""
         todo = [(b"", self.root)]
         while todo:
-            path, node = todo.pop()
-            path += node[0]
-            if node[2] is not None:
-                yield path, node[2]
-            children = node[1]
-            todo.extend((path, children[b]) for b in sorted(children, reverse=True))
+            path, (edge, children, docs, held) = todo.pop()
+            path += edge
+            if held is not None:
+                yield path, docs, held
+            if children:
+                todo.extend((path, children[b]) for b in sorted(children, reverse=True))
 
 
 def term_array(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -126,13 +149,14 @@ def insert(trie: RadixTrie, data: np.ndarray, offsets: np.ndarray, langs: list[s
     total, docs = np.bincount(back, times).astype(np.int64), np.bincount(back)
     leaf, own = np.divmod(cell, len(groups))
     first = np.flatnonzero(np.diff(leaf, prepend=-1))
-    docs = np.add.reduceat(docs, first).tolist()
-    heads = [x.encode() + b"\0" for x in lang_no]
-    words = coded.dictionary.to_pylist()
-    names, totals = [groups[g][1] for g in own.tolist()], total.tolist()
-    ends = [*first[1:].tolist(), len(cell)]
-    for d, a, b, k in zip(docs, first.tolist(), ends, leaf[first].tolist(), strict=True):
-        trie.add(heads[k % len(heads)] + words[k // len(heads)], d, names[a:b], totals[a:b])
+    docs, leaf = np.add.reduceat(docs, first), leaf[first]
+    heads, words = [x.encode() + b"\0" for x in lang_no], coded.dictionary.to_pylist()
+    keys = [heads[k % len(heads)] + words[k // len(heads)] for k in leaf.tolist()]
+    order = pc.sort_indices(pa.array(keys, pa.binary())).to_numpy()
+    many = np.diff(first, append=len(cell))[order]
+    cuts = np.append(0, np.cumsum(many))
+    at = np.repeat(first[order] - cuts[:-1], many) + np.arange(len(cell))
+    trie.add_sorted([keys[i] for i in order.tolist()], docs[order].tolist(), cuts.tolist(), [groups[g][1] for g in own[at].tolist()], total[at].tolist())
 
 
 def insert_long(trie: RadixTrie, data: np.ndarray, lang: str, source: str) -> None:
@@ -149,41 +173,53 @@ def insert_long(trie: RadixTrie, data: np.ndarray, lang: str, source: str) -> No
     trie.merge(whole)
 
 
-def leaf_rows(leaves: list[tuple[bytes, list]]) -> pa.RecordBatch:
+def leaf_rows(leaves: list[tuple[bytes, int, dict[str, int]]]) -> pa.RecordBatch:
     at = np.zeros(len(leaves) + 1, np.int32)
-    np.cumsum([len(x[1]) for _, x in leaves], out=at[1:])
-    flat = pa.StructArray.from_arrays([pa.array([s for _, x in leaves for s in x[1]], pa.string()), pa.array([n for _, x in leaves for n in x[1].values()], pa.int64())], ["source", "n"])
-    return pa.record_batch([pa.array([k for k, _ in leaves], pa.binary()), pa.array([x[0] for _, x in leaves], pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)], ["key", "docs", "counts"])
+    np.cumsum([len(x) for _, _, x in leaves], out=at[1:])
+    flat = pa.StructArray.from_arrays([pa.array([s for _, _, x in leaves for s in x], pa.string()), pa.array([n for _, _, x in leaves for n in x.values()], pa.int64())], ["source", "n"])
+    return pa.record_batch([pa.array([k for k, _, _ in leaves], pa.binary()), pa.array([d for _, d, _ in leaves], pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)], ["key", "docs", "counts"])
 
 
 def _spilled(trie: RadixTrie) -> Iterator[pa.RecordBatch]:
-    part: list = []
-    for leaf in trie.walk():
-        part.append(leaf)
-        if len(part) == 10_000:
-            yield leaf_rows(part)
-            part = []
-    if part:
+    leaves = trie.walk()
+    while part := list(islice(leaves, 10_000)):
         yield leaf_rows(part)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold PIECE bytes, so that a term that many of them share is met once."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PIECE:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 @tidy
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) to the leaves of one or more tries, each in byte order."""
     trie = RadixTrie()
-    for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-        for i, j in pieces(offsets, PIECE):
-            part = data[offsets[i] : offsets[j]]
-            if len(part) > PIECE:
-                insert_long(trie, part, langs[i], sources[i])
-            else:
-                insert(trie, part, offsets[i : j + 1] - offsets[i], langs[i:j], sources[i:j])
-            if trie.leaves > LEAVES:
-                yield from _spilled(trie)
-                trie = RadixTrie()
-    yield from _spilled(trie)
+    gc.disable()  # a trie has no cycles, and the collector would walk all its nodes again and again
+    try:
+        for batch in gathered(batches):
+            data, offsets = text_bytes(batch.column("text"))
+            langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+            for i, j in pieces(offsets, PIECE):
+                part = data[offsets[i] : offsets[j]]
+                if len(part) > PIECE:
+                    insert_long(trie, part, langs[i], sources[i])
+                else:
+                    insert(trie, part, offsets[i : j + 1] - offsets[i], langs[i:j], sources[i:j])
+                if trie.leaves > LEAVES:
+                    yield from _spilled(trie)
+                    trie = RadixTrie()
+        yield from _spilled(trie)
+    finally:
+        gc.enable()
 
 
 def merged(least: int):
@@ -193,42 +229,37 @@ def merged(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, kept, last = TaskContext.get().partitionId() << 32, 0, None
 
-        def out(leaves: list[tuple[bytes, list]]) -> pa.RecordBatch:
+        def out(leaves: list[tuple[bytes, int, dict[str, int]]]) -> pa.RecordBatch:
             nonlocal kept
-            rows = leaf_rows(leaves)
-            parts = [k.rsplit(b"\0", 1) for k, _ in leaves]
+            parts = [k.rsplit(b"\0", 1) for k, _, _ in leaves]
             block = base + (kept + np.arange(len(leaves))) // BLOCK
             kept += len(leaves)
-            return pa.record_batch([pa.array([p[0].decode() for p in parts], pa.string()), pa.array([p[1].decode() for p in parts], pa.string()), pa.array(block, pa.int64()), rows.column("counts")], ["lang", "item", "block", "counts"])
+            return pa.record_batch([pa.array([p[0].decode() for p in parts], pa.string()), pa.array([p[1].decode() for p in parts], pa.string()), pa.array(block, pa.int64()), leaf_rows(leaves).column("counts")], ["lang", "item", "block", "counts"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, docs, counts = batch.column("key"), batch.column("docs").to_numpy(), batch.column("counts")
-            first = np.concatenate([[True], pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)])
-            first, done = np.flatnonzero(first), []
-            sums = np.add.reduceat(docs, first).tolist()
-            ends = [*first[1:].tolist(), len(keys)]
-            for x, (a, b) in enumerate(zip(first.tolist(), ends, strict=True)):
-                open_end, joins = b == len(keys), x == 0 and last is not None and last[0] == keys[0].as_py()
-                if x == 0 and last is not None and not joins:
-                    if last[1][0] >= least:
-                        done.append(last)
-                    last = None
-                if sums[x] < least and not open_end and not joins:
-                    continue
-                held = last[1] if joins else [0, {}]
-                held[0] += sums[x]
-                for c in counts.slice(a, b - a).flatten().to_pylist():
-                    held[1][c["source"]] = held[1].get(c["source"], 0) + c["n"]
-                last = (keys[a].as_py(), held)
-                if not open_end:
-                    if held[0] >= least:
-                        done.append(last)
+            keys, counts = batch.column("key"), batch.column("counts")
+            first = np.flatnonzero(np.concatenate([[True], pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)]))
+            docs, ends, done = np.add.reduceat(batch.column("docs").to_numpy(), first), np.append(first[1:], len(keys)), []
+            joins = last is not None and last[0] == keys[0].as_py()
+            if last is not None and not joins:
+                done += [last] if last[1] >= least else []
+                last = None
+            need = docs >= least  # most keys stop here; the batch's ends may go on in its neighbours
+            need[-1] = True
+            need[0] |= joins
+            for x in np.flatnonzero(need).tolist():
+                key, held, before = keys[int(first[x])].as_py(), *((last[2], last[1]) if x == 0 and joins else ({}, 0))
+                for c in counts.slice(first[x], ends[x] - first[x]).flatten().to_pylist():
+                    held[c["source"]] = held.get(c["source"], 0) + c["n"]
+                last = (key, before + int(docs[x]), held)
+                if x + 1 < len(first):
+                    done += [last] if last[1] >= least else []
                     last = None
             if done:
                 yield out(done)
-        if last is not None and last[1][0] >= least:
+        if last is not None and last[1] >= least:
             yield out([last])
 
     return run
@@ -296,7 +327,7 @@ def kept_terms(docs: DataFrame, least: int = 30) -> DataFrame:
 def totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(lang, source, words, lang_words, terms) of every occurring group, those without a term too."""
     words = terms.select("lang", F.explode("counts").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(F.sum("c.n").alias("words"))
-    size = terms.groupBy("lang").agg(F.count("*").alias("terms"))
+    size = terms.groupBy("lang").agg(F.count("*").alias("terms")
     every = words.groupBy("lang").agg(F.sum("words").alias("lang_words")).join(size, "lang", "full")
     zero = {"words": 0, "lang_words": 0, "terms": 0}
     return docs.select("lang", "source").distinct().join(words, ["lang", "source"], "left").join(every, "lang", "left").fillna(zero)
