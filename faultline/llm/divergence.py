@@ -265,6 +265,14 @@ def merged(least: int):
     return run
 
 
+def joined(terms: DataFrame) -> DataFrame:
+    """``terms`` with neighbouring blocks of a language put together up to BLOCK terms, so that their number follows the terms and not the tasks."""
+    size = terms.groupBy("lang", "block").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("lang").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    place = size.select("lang", "block", F.floor(F.coalesce(ahead, F.lit(0)) / BLOCK).cast("long").alias("place"))
+    return terms.join(place, ["lang", "block"]).select("lang", "item", F.col("place").alias("block"), "counts")
+
+
 def share(count: np.ndarray, total: np.ndarray, terms: int) -> np.ndarray:
     """1 + floor(10**9 * (count + 5) / (total + 5 * terms)), three digits at a time so that 64 bits hold it below 9 * 10**15 words."""
     below = np.broadcast_to(total + 5 * terms, count.shape)
@@ -321,13 +329,13 @@ def kept_terms(docs: DataFrame, least: int = 30) -> DataFrame:
     """(lang, item, block, counts): the terms in ``least`` documents of their language with their counts by source, in stored blocks."""
     leaves = stored(docs.mapInArrow(count, LEAF), "leaves")
     by_range = leaves.repartitionByRange("key").sortWithinPartitions("key")
-    return stored(by_range.mapInArrow(merged(least), "lang string, item string, block long, counts array<struct<source:string,n:long>>"), "terms")
+    return joined(stored(by_range.mapInArrow(merged(least), "lang string, item string, block long, counts array<struct<source:string,n:long>>"), "terms"))
 
 
 def totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(lang, source, words, lang_words, terms) of every occurring group, those without a term too."""
     words = terms.select("lang", F.explode("counts").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(F.sum("c.n").alias("words"))
-    size = terms.groupBy("lang").agg(F.count("*").alias("terms")
+    size = terms.groupBy("lang").agg(F.count("*").alias("terms"))
     every = words.groupBy("lang").agg(F.sum("words").alias("lang_words")).join(size, "lang", "full")
     zero = {"words": 0, "lang_words": 0, "terms": 0}
     return docs.select("lang", "source").distinct().join(words, ["lang", "source"], "left").join(every, "lang", "left").fillna(zero)
