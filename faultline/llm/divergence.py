@@ -222,6 +222,21 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.enable()
 
 
+def sums(counts: pa.ListArray, first: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """The counters of each range of rows added up by source."""
+    flat, at = counts.flatten(), counts.offsets.to_numpy() - counts.offsets[0].as_py()
+    a, many = at[first], at[ends] - at[first]
+    run = np.repeat(np.arange(len(first)), many)
+    take = np.repeat(a - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+    coded = flat.field("source").dictionary_encode()
+    cell, back = np.unique(run * len(coded.dictionary) + coded.indices.to_numpy()[take], return_inverse=True)
+    total = np.zeros(len(cell), np.int64)
+    np.add.at(total, back, flat.field("n").to_numpy()[take])
+    run, source = np.divmod(cell, len(coded.dictionary))
+    cuts = np.searchsorted(run, np.arange(len(first) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([coded.dictionary.take(pa.array(source)), pa.array(total)], ["source", "n"]))
+
+
 def merged(least: int):
     """A task for leaves in byte order: counters of one key are added up; terms in ``least`` documents stay, in blocks of at most BLOCK."""
 
@@ -229,38 +244,39 @@ def merged(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, kept, last = TaskContext.get().partitionId() << 32, 0, None
 
-        def out(leaves: list[tuple[bytes, int, dict[str, int]]]) -> pa.RecordBatch:
+        def out(keys: list[bytes], counts: pa.Array) -> pa.RecordBatch:
             nonlocal kept
-            parts = [k.rsplit(b"\0", 1) for k, _, _ in leaves]
-            block = base + (kept + np.arange(len(leaves))) // BLOCK
-            kept += len(leaves)
-            return pa.record_batch([pa.array([p[0].decode() for p in parts], pa.string()), pa.array([p[1].decode() for p in parts], pa.string()), pa.array(block, pa.int64()), leaf_rows(leaves).column("counts")], ["lang", "item", "block", "counts"])
+            parts = [k.rsplit(b"\0", 1) for k in keys]
+            block = base + (kept + np.arange(len(keys))) // BLOCK
+            kept += len(keys)
+            return pa.record_batch([pa.array([p[0].decode() for p in parts], pa.string()), pa.array([p[1].decode() for p in parts], pa.string()), pa.array(block, pa.int64()), counts], ["lang", "item", "block", "counts"])
+
+        def settled(leaf: tuple[bytes, int, dict[str, int]] | None) -> Iterator[pa.RecordBatch]:
+            if leaf is not None and leaf[1] >= least:
+                yield out([leaf[0]], leaf_rows([leaf]).column("counts"))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, counts = batch.column("key"), batch.column("counts")
             first = np.flatnonzero(np.concatenate([[True], pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)]))
-            docs, ends, done = np.add.reduceat(batch.column("docs").to_numpy(), first), np.append(first[1:], len(keys)), []
-            joins = last is not None and last[0] == keys[0].as_py()
-            if last is not None and not joins:
-                done += [last] if last[1] >= least else []
-                last = None
-            need = docs >= least  # most keys stop here; the batch's ends may go on in its neighbours
-            need[-1] = True
-            need[0] |= joins
-            for x in np.flatnonzero(need).tolist():
-                key, held, before = keys[int(first[x])].as_py(), *((last[2], last[1]) if x == 0 and joins else ({}, 0))
+            docs, ends = np.add.reduceat(batch.column("docs").to_numpy(), first), np.append(first[1:], len(keys))
+            for x in (0, len(first) - 1)[: len(first)]:  # the batch's ends may go on in its neighbours
+                key = keys[int(first[x])].as_py()
+                if last is not None and last[0] != key:
+                    yield from settled(last)
+                    last = None
+                held, before = (last[2], last[1]) if last is not None else ({}, 0)
                 for c in counts.slice(first[x], ends[x] - first[x]).flatten().to_pylist():
                     held[c["source"]] = held.get(c["source"], 0) + c["n"]
                 last = (key, before + int(docs[x]), held)
-                if x + 1 < len(first):
-                    done += [last] if last[1] >= least else []
+                if x == 0 and len(first) > 1:
+                    yield from settled(last)
                     last = None
-            if done:
-                yield out(done)
-        if last is not None and last[1] >= least:
-            yield out([last])
+                    inner = np.flatnonzero(docs[1:-1] >= least) + 1
+                    if len(inner):
+                        yield out(keys.take(pa.array(first[inner])).to_pylist(), sums(counts, first[inner], ends[inner]))
+        yield from settled(last)
 
     return run
 
