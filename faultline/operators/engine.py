@@ -276,6 +276,22 @@ def classifier_metrics(scored: DataFrame, cut_at: float = 0.5) -> DataFrame:
     return t.select(*[F.round(v, 6).alias(k) for k, v in r.items()])
 
 
+def average_precision(scored: DataFrame) -> DataFrame:
+    """One row (pr_auc) for ``scored(label, score)``: precision at each distinct score times the recall gained there.
+
+    Equal scores are one step. Distinct scores are dealt by range, highest first; each range counts on its own from the
+    totals of the ranges above it, which are one row a range, so no task orders them all. 0 without a positive.
+    """
+    by = scored.where("label is not null and score is not null").groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
+    by = cut(by.repartitionByRange(F.col("score").desc()).withColumn("part", F.spark_partition_id()))
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = by.groupBy("part").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn")).select("part", F.coalesce(F.sum("tp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("tn").over(above), F.lit(0)).alias("n0"))
+    w = Window.partitionBy("part").orderBy(F.col("score").desc())
+    run = by.join(F.broadcast(base), "part").select("p", (F.sum("p").over(w) + F.col("p0")).alias("tp"), (F.sum("n").over(w) + F.col("n0")).alias("n"))
+    total = F.coalesce(F.sum("p"), F.lit(0))
+    return run.agg(F.round(F.when(total > 0, F.sum(F.col("p") * F.col("tp") / F.col("n")) / F.when(total > 0, total)).otherwise(F.lit(0.0)), 6).alias("pr_auc"))
+
+
 def _weighted(edges: DataFrame, side: str) -> DataFrame:
     """(src, dst, w): weights as shares of their sum at ``side``; where that sum is 0 they stay as they are."""
     total = edges.groupBy(side).agg(F.sum("weight").alias("t"))
