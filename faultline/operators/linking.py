@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
+from faultline.operators import similar
 from faultline.operators.connect import cut
 
 # Corporate words, country names and entity types.
@@ -80,28 +77,16 @@ def _master(master: DataFrame, corporate: bool, aliases: tuple[str, ...]) -> Dat
     return master.select("id", "name", F.lower(F.trim("name")).alias("low"), linking_text(F.col("name"), corporate).alias("norm"), numbers(F.col("name")).alias("nums"), *[v.alias(k) for k, v in more.items()])
 
 
-def _candidates(m: DataFrame, s: DataFrame) -> DataFrame:
-    """Mentions and masters that share a word and whose numbers don't conflict, each pair once.
-
-    Where both have numbers they must share one, so they meet at that number and not at words that every name has.
-    """
-    many = lambda df, x, by, key: df.where(F.size(x) > 0).withColumn(key, F.explode(by))
-    both = many(m, "m_nums", "m_nums", "_n").join(many(s, "nums", "nums", "_n"), "_n").where(F.arrays_overlap("m_words", "words")).drop("_n")
-    words = s.withColumn("_w", F.explode("words"))
-    bare = m.where(F.size("m_nums") == 0).withColumn("_w", F.explode("m_words")).join(words, "_w").drop("_w")
-    rest = many(m, "m_nums", "m_words", "_w").join(words.where(F.size("nums") == 0), "_w").drop("_w")
-    return both.unionByName(bare).unionByName(rest).distinct().drop("m_words", "words")
-
-
-def link(mentions: DataFrame, master: DataFrame, kind: str, threshold: float = 0.55, fuzzy: bool = True) -> DataFrame:
+def link(mentions: DataFrame, master: DataFrame, kind: str, threshold: float = 0.55, fuzzy: bool = True, method: str = "token") -> DataFrame:
     """(mention, entity_type, linked_id, match_method, match_score, confidence), a row per different mention.
 
     ``master`` holds (id, name), locations also (city, country), products also (category). Stages: the name or the
     id itself; the normalised name (and city); suppliers by containment, locations by country, products by category;
     then the most similar name. The first stage that hits wins, in it the greatest score, then the least id. Numbers
-    that conflict rule out the normalised and the contained name. Each stage is an equality join: containment is
-    looked for among names that share a word, and so is similarity, which is the sequence ratio of the normalised
-    names, at least 0.92 where a number is shared.
+    that conflict rule out the normalised and the contained name. The first two stages and aliases are equality joins.
+    Containment and similarity meet all masters in blocks (see ``similar``): similarity is the greater of the
+    word-order and the word-set ratio, or with ``method`` "sequence" the sequence ratio, at least 0.92 where a number
+    is shared; places count by name, city or country, products by name or 0.85 of the category's.
     """
     supplier = kind == "SUPPLIER"
     alias = {"LOCATION": ("city", "country"), "PRODUCT": ("category",)}.get(kind, ())
@@ -123,24 +108,22 @@ def link(mentions: DataFrame, master: DataFrame, kind: str, threshold: float = 0
     if kind == "PRODUCT":
         found = found.unionByName(hit(named.join(s.where("alias_category <> ''"), named["m_norm"] == s["alias_category"]), 3, F.lit(0.88), "alias"))
     if supplier or fuzzy:
-        near = _candidates(named.withColumn("m_words", F.array_distinct(F.split("m_norm", " "))), s.withColumn("words", F.array_distinct(F.split("norm", " "))))
-        if supplier:
-            ratio = F.least(F.length("m_norm"), F.length("norm")) / F.greatest(F.length("m_norm"), F.length("norm"))
-            inside = F.col("norm").contains(F.col("m_norm")) | F.col("m_norm").contains(F.col("norm"))
-            found = found.unionByName(hit(near.where((F.length("m_norm") > 3) & inside & (ratio >= 0.80)), 3, F.round(0.90 * ratio, 3), "alias"))
+        found = cut(found)
+        open_ = named.join(found.select("mention").distinct(), "mention", "left_anti").select("mention", F.col("m_norm").alias("norm"), F.col("m_nums").alias("nums"))
+        text = lambda norm, nums, weight: s.select("id", F.col(norm).alias("norm"), nums.alias("nums"), F.lit(weight).alias("weight"))
+        none = F.array().cast("array<string>")
+        texts = text("norm", F.col("nums"), 1.0)
+        if kind == "LOCATION":
+            texts = texts.unionByName(text("alias_city", F.col("nums"), 1.0)).unionByName(text("alias_country", none, 1.0))
+        if kind == "PRODUCT":
+            texts = texts.unionByName(text("alias_category", none, 0.85))
+        near = cut(similar.matches(open_, texts, threshold, method, fuzzy, supplier))
+        found = found.unionByName(near.where("stage = 3").select("mention", F.col("stage"), "score", "id", F.lit("alias").alias("method")))
         if fuzzy:
-
-            def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    r = [round(max(SequenceMatcher(None, x, y).ratio(), 0.92 if shared else 0.0), 4) for x, y, shared in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array(r, pa.float64())], ["mention", "id", "score"])
-
-            done = found.select("mention").distinct()
-            open_ = near.join(done, "mention", "left_anti").select("mention", "m_norm", "norm", F.arrays_overlap("m_nums", "nums").alias("shared"), "id")
-            rated = open_.mapInArrow(rate, "mention string, id string, score double").where(F.col("score") >= threshold)
-            found = found.unionByName(rated.select("mention", F.lit(4).alias("stage"), "score", "id", F.lit("fuzzy").alias("method")))
-    # Containment takes the first id of its stage, similarity the greatest score.
-    rank = F.struct("stage", F.when(F.col("stage") == 4, -F.col("score")).otherwise(F.lit(0.0)).alias("by"), "id", "score", "method")
+            won = similar.steps(near).select("mention", F.lit(4).alias("stage"), F.col("steps")[0]["score"].alias("score"), F.col("steps")[0]["id"].alias("id"), F.lit("fuzzy").alias("method"))
+            found = found.unionByName(won)
+    # The first id of the first stage; the similar stage has one row a mention.
+    rank = F.struct("stage", "id", "score", "method")
     best = found.groupBy("mention").agg(F.min(rank).alias("b"))
     j = m.select("mention").join(best, "mention", "left")
     method, score = F.coalesce("b.method", F.lit("unresolved")), F.coalesce("b.score", F.lit(0.0))
@@ -169,6 +152,27 @@ def link_entities(mentions: DataFrame, suppliers: DataFrame, locations: DataFram
     return best.select("mention", *[F.col(f"b.{n}").alias(n) for n in names])
 
 
+def link_first(asked: DataFrame, master: DataFrame, kind: str, threshold: float | None = None, method: str = "token") -> DataFrame:
+    """(key, mention, at, match_score, confidence): the older linker, one record for all mentions of a key, or no row.
+
+    ``asked(key, pos, mention)`` holds the mentions of a key in order, ``master(at, name, ...)`` the records in theirs, with
+    (city, country) for places and (category) for products. A mention of two characters or more is compared with every
+    text of every record; a later one wins with a greater score only. Products count 0.85 of the category's score. The
+    thresholds are 0.55, for places 0.60. The confidence is the score, of suppliers 1.02 times it, at most 1.
+    """
+    threshold = threshold if threshold is not None else 0.60 if kind == "LOCATION" else 0.55
+    bare = lambda x: F.regexp_extract_all(x, F.lit(r"\b(\d+)\b"), 1)
+    asked = asked.select("key", "pos", F.trim("mention").alias("mention")).where(F.length("mention") >= 2)
+    m = asked.select("mention").distinct().select("mention", c.legacy_linking_text(F.col("mention")).alias("norm"), bare(F.col("mention")).alias("nums"))
+    texts = None
+    for x, weight in {"LOCATION": (("name", 1.0), ("city", 1.0), ("country", 1.0)), "PRODUCT": (("name", 1.0), ("category", 0.85))}.get(kind, (("name", 1.0),)):
+        one = master.select(F.col("at").alias("id"), c.legacy_linking_text(F.col(x)).alias("norm"), bare(F.coalesce(F.col(x), F.lit(""))).alias("nums"), F.lit(weight).alias("weight"))
+        texts = one if texts is None else texts.unionByName(one)
+    won = similar.scan(asked, cut(similar.matches(m, texts, threshold, method)), threshold)
+    sure = F.least(F.lit(1.0), F.col("score") * 1.02) if kind == "SUPPLIER" else F.col("score")
+    return won.select("key", "mention", F.col("id").alias("at"), F.round("score", 3).alias("match_score"), F.round(sure, 3).alias("confidence"))
+
+
 def link_report(links: DataFrame) -> DataFrame:
     """One row: links by method, mean confidence of all, and the unresolved share as text."""
     lost = F.count_if((F.col("linked_id") == "UNKNOWN") | (F.col("match_method") == "unresolved"))

@@ -90,11 +90,8 @@ def test_entity_risk(spark):
     assert got["S3"].entity_name == "Supplier S3" and "Tier-2" in got["S3"].reasons and got["S9"].combined_risk == 0.5
 
 
-def test_candidates_meet_at_numbers(spark):
-    """A word that every name has doesn't make pairs of names whose numbers differ."""
+def test_numbers_decide(spark):
+    """Of names that share all their words, the one with the number wins; numbers in conflict rule a name out."""
     names = spark.createDataFrame([(f"S{i}", f"Vendor {i:05d}") for i in range(300)] + [("T", "Vendor Works")], "id string, name string")
-    s = linking._master(names, True, ()).withColumn("words", F.split("norm", " "))
-    m = s.select(F.col("name").alias("mention"), F.col("norm").alias("m_norm"), F.col("nums").alias("m_nums"), F.col("words").alias("m_words"))
-    assert linking._candidates(m, s).count() == 300 + 2 * 300 + 1
     both = {(r.mention, r.linked_id, r.match_method) for r in linking.link(spark.createDataFrame([("The Vendor 7",), ("vendor 00007 x",)], "mention string"), names, "SUPPLIER").collect()}
     assert both == {("The Vendor 7", "S7", "fuzzy"), ("vendor 00007 x", "S7", "alias")}
