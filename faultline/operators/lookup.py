@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.operators import catalogue
+
 #: Terms to a block; a text meets every block once, whatever the number of terms.
 BLOCK = 5000
 #: Lanes of texts that each have a copy of the blocks, so that a join that isn't broadcast is spread over as many keys.
@@ -14,10 +16,18 @@ LANES = 32
 def match_location(texts: DataFrame, terms: DataFrame, id_col: str = "article_id", text_col: str = "content") -> DataFrame:
     """(id, location_id): the first of ``terms(at, term, location_id)`` that stands anywhere in the lower-cased text, else UNKNOWN.
 
-    Null texts and null terms match nothing. Ids are taken to be distinct; rows that repeat one become one row.
-    Terms are laid into arrays of ``BLOCK``, so that texts are multiplied by blocks and not by terms.
+    Null texts and null or empty terms match nothing. Ids are taken to be distinct; rows that repeat one become one row.
+    Terms of up to ``catalogue.NAME_BYTES`` are found in one pass over each text. More are laid into arrays of
+    ``BLOCK``, so that texts are multiplied by blocks and not by terms.
     """
-    found = terms.where("term is not null")
+    found = terms.where("term <> ''")
+    short = catalogue.listed(found, "term", "at", "location_id")
+    if short is not None:
+        ordered = sorted((at, term, place) for term, at, place in short)
+        known = F.struct((F.col("location_id") == "UNKNOWN").alias("no"), F.col("_at"), F.col("location_id"))
+        hits = catalogue.first_term(texts, [(at, term, f"{i}:{place}") for i, (at, term, place) in enumerate(ordered)], id_col, text_col)
+        hits = hits.withColumn("_at", F.substring_index("location_id", ":", 1).try_cast("long")).withColumn("location_id", F.when(F.col("_at").isNull(), F.col("location_id")).otherwise(F.regexp_replace("location_id", r"^\d+:", "")))
+        return hits.groupBy(id_col).agg(F.min(known).alias("m")).select(id_col, F.col("m.location_id").alias("location_id"))
     blocks = found.withColumn("b", F.floor(F.col("at") / BLOCK)).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("at", "term", "location_id"))).alias("terms"))
     numbers = blocks.agg(F.collect_list("b").alias("_all"))  # one row, a number a block
     t = texts.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_text")).join(F.broadcast(numbers))
