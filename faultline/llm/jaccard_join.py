@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.components import components
-from faultline.llm.shared import int_bits, lists, mix, shingle_sets, stored, text_bytes, tidy
+from faultline.llm.shared import int_bits, lists, mix, shingle_sets, stored, text_bytes, tidy, with_places
 
 U64 = np.uint64
 
@@ -351,7 +351,19 @@ def groups(docs: DataFrame, cfg: Jaccard = Jaccard(), id_col: str = "doc_id", te
 
 
 def keep_one(docs: DataFrame, cfg: Jaccard = Jaccard()) -> DataFrame:
-    """Rows of ``docs`` whose id is the least of its component, all columns kept; rows with a null id stay."""
-    table, classes = _placed(_input(docs), cfg)
-    gone = table.join(classes, ["n", "fa", "fb"]).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` whose id is the least of its component, all columns kept.
+
+    Rows with a null id and null or blank texts stay, each its own group. Equal rows of one id stay or go together;
+    different texts of one id are documents of their own, in the order of their SHA-256. Other columns are not read.
+    An empty table gives no rows.
+    """
+    placed = with_places(docs)
+    if placed is None:
+        return _keep_one(docs, "doc_id", cfg)
+    return _keep_one(placed, "__place", cfg).drop("__place")
+
+
+def _keep_one(docs: DataFrame, id_col: str, cfg: Jaccard) -> DataFrame:
+    table, classes = _placed(_input(docs, id_col), cfg)
+    gone = table.join(classes, ["n", "fa", "fb"]).where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

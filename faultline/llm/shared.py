@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -59,6 +59,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def with_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """``docs`` and a last column __place, a number of its own for each different (id, text), in the order of ids and then of the texts' digests.
+
+    None where no id repeats, which a count of the ids alone tells. Rows without an id have no place. Ranks are taken
+    within ranges of the ids and digests, so that an id of very many rows is not one task's.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
+    if ids.groupBy("id").count().where("count > 1").isEmpty():
+        return None
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    keys = stored(docs.select(F.col(id_col).cast("long").alias("__id"), digest.alias("__digest")).where("__id is not null").distinct(), "keys")
+    dealt = stored(keys.repartitionByRange("__id", "__digest").withColumn("part", F.spark_partition_id()), "keys")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    base = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("__id", "__digest"))
+    place = dealt.join(base, "part").select("__id", "__digest", (F.col("base") + rank).cast("long").alias("__place"))
+    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": digest})
+    return stored(rows.join(place, ["__id", "__digest"], "left").select(*docs.columns, "__place"), "places")
+
+
 def fold_of(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids fall in fold -1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod, F.lit(-1))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import BYTE_CODE, lists, mix, pieces, powers, stored, text_bytes, tidy
+from faultline.llm.shared import BYTE_CODE, lists, mix, pieces, powers, stored, text_bytes, tidy, with_places
 
 U64 = np.uint64
 GRAM = 32
@@ -294,9 +294,22 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
 
     Every byte covered by a ``length``-byte string that also starts earlier (smaller doc_id, or earlier in the
     same text) is removed; matches stay within a document and are judged on the input. Null text is empty. Rows
-    with a null id are kept whole and match nothing; rows that repeat an id count as one place in the order. Ids are
-    whole numbers, or texts that read as such; others are an error. Other columns are not read.
+    with a null id are kept whole and match nothing. Equal rows of one id count as one place in the order; different
+    texts of one id are places of their own, in the order of their SHA-256. Ids are whole numbers, or texts that read
+    as such; others are an error. Other columns are not read. An empty table gives no rows.
     """
+    placed = with_places(docs.select(id_col, text_col), id_col, text_col)
+    if placed is not None:
+        found = _dedup(placed.select("__place", text_col).where("__place is not null"), length, "__place", text_col, with_text).withColumnRenamed("doc_id", "__place")
+        names = placed.select("__place", F.col(id_col).cast("long").alias("doc_id")).where("__place is not null").distinct()
+        rest = placed.where("__place is null").select(id_col, text_col)
+        out = found.join(names, "__place").select("doc_id", *found.columns[1:])
+        return out.unionByName(_dedup(rest, length, id_col, text_col, with_text))
+    return _dedup(docs, length, id_col, text_col, with_text)
+
+
+def _dedup(docs: DataFrame, length: int, id_col: str, text_col: str, with_text: bool) -> DataFrame:
+    """``dedup`` where equal ids have equal texts."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = stored(repeated(d.where("doc_id is not null"), length), "spans")
 
@@ -324,8 +337,17 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
 def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes of each text gone and all other columns as they are.
 
-    Where a cut falls inside a character, what is left of the character goes too.
+    Where a cut falls inside a character, what is left of the character goes too. Null and empty texts, repeated ids, rows
+    without an id and empty tables are as in ``dedup``; columns of any other name stay untouched.
     """
+    placed = with_places(docs, id_col, text_col)
+    if placed is not None:
+        return _remove(placed, length, "__place", text_col).drop("__place")
+    return _remove(docs, length, id_col, text_col)
+
+
+def _remove(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """``remove`` where equal ids have equal texts."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = stored(repeated(d.where("doc_id is not null"), length), "spans")
     at, schema = docs.columns.index(text_col), docs.schema

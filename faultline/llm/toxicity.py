@@ -298,7 +298,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", shape: S
         return Network(shape, {}, {}, constant=float(max(ends, default=0)))
     short = docs.where(F.length(text_col) <= shape.train_chars).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pick = known.where("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(shape.train_docs).unionByName(known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(shape.train_docs))
-    rows = short.join(F.broadcast(pick), "doc_id").orderBy("doc_id", "label").collect()  # 2 * train_docs rows of train_chars at most
+    one = short.join(F.broadcast(pick.distinct()), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # a text an id, however often it repeats
+    rows = one.orderBy("doc_id", "label").collect()  # 2 * train_docs rows of train_chars at most
     texts, y = [tokens(r.text, shape.piece_chars) for r in rows], np.array([r.label for r in rows], np.float32)
     if not 0 < y.sum() < len(y):
         return Network(shape, {}, {}, constant=float(y.sum() > 0))

@@ -219,3 +219,24 @@ def test_sql_and_columns(spark, talk, vectors, name, tmp_path):
     assert got.dtypes == [tuple(x.split(" ")) for x in types[name].split(", ")]
     order = lambda rows: sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
     assert order([tuple(r[x] for x in names) for r in got.collect()]) == order(want)
+
+
+def test_different_texts_of_one_id(spark):
+    """A row whose id another row has loses only its own repeats, and no other row's group takes it along."""
+    from faultline.llm import jaccard_join, suffix_dedup, toxicity
+
+    g = random.Random(6)
+    a, b, c = (" ".join(g.choices([f"w{i}" for i in range(500)], k=90)) for _ in range(3))
+    rows = [(1, a, "p"), (2, "intro " + a, "q"), (2, b + c, "r"), (2, b + c, "s"), (None, a, "t"), (7, b, "u"), (2, None, "v")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    kept = {r.spans: r.text for r in suffix_dedup.remove(d).collect()}
+    assert kept["p"] == a and kept["r"] == kept["s"] == b + c and kept["t"] == a and kept["u"] == "" and kept["v"] is None
+    assert len(kept["q"]) < 10 and suffix_dedup.remove(d).columns == d.columns
+    digest = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(d).collect())
+    assert digest == sorted([(1, len(a), 0), (2, len(a) + 6, len(a) + 6 - len(kept["q"])), (2, len(b + c), 0), (2, len(b + c), 0), (-1, len(a), 0), (7, len(b), len(b)), (2, 0, 0)])
+    some = spark.createDataFrame([(1, a, "p"), (2, a, "q"), (2, b, "r"), (2, c, "s"), (3, c + " x", "t"), (3, b + " y", "u"), (None, a, "v")], "doc_id long, text string, n string")
+    out = jaccard_join.keep_one(some)
+    assert sorted(r.n for r in out.collect()) == ["p", "r", "s", "v"] and out.columns == some.columns
+    many = spark.createDataFrame([(1, f"fine words {i}") for i in range(50)] + [(2, "scum")], "doc_id long, text string")
+    y = spark.createDataFrame([(1, 0), (2, 1), (2, 1)], "doc_id long, toxic int")
+    assert toxicity.train(many, y).shape.train_docs > 0
