@@ -16,7 +16,7 @@ from faultline.sources.tables import Catalog
 from faultline.streaming import live
 
 #: Epochs of the training queries; the operators' own default is 50.
-EPOCHS = 5
+EPOCHS = 3
 
 
 def _graph(k: Catalog) -> builder.Graph:
@@ -86,8 +86,8 @@ def pair_exposure(k):
 
 
 def _risk_labels(k: Catalog) -> DataFrame:
-    """(node_id, risk): the greatest deterministic risk of each supplier."""
-    return registry._risk(k).groupBy(F.col("supplier_id").alias("node_id")).agg(F.max("risk_norm").alias("risk"))
+    """(node_id, risk): the mean deterministic risk of each supplier over places and severities."""
+    return registry._risk(k).groupBy(F.col("supplier_id").alias("node_id")).agg(F.avg("risk_norm").alias("risk"))
 
 
 def _training_tables(k: Catalog) -> tuple[DataFrame, DataFrame, DataFrame]:
