@@ -124,6 +124,17 @@ def level(value: Column) -> Column:
     return F.when(value >= 0.75, "high").when(value >= 0.40, "moderate").otherwise("low")
 
 
+def single_level(value: Column) -> Column:
+    """A single source is critical or of no weight."""
+    return F.when(value > 0.5, "critical").otherwise("low")
+
+
+def truthy(value: Column, kind: str) -> Column:
+    """What counts as true: any text that isn't empty, any number but 0, true itself; null is false."""
+    held = value if kind == "boolean" else value != "" if kind == "string" else F.isnan(value.cast("double")) | (value.cast("double") != 0)
+    return F.coalesce(held, F.lit(False))
+
+
 def link_confidence(method: Column, score: Column) -> Column:
     c = F.when(method == "exact", F.lit(0.98)).when(method == "normalized", F.least(F.lit(0.96), 0.92 + (score - 0.90) * 0.4)).when(method == "alias", F.least(F.lit(0.92), 0.88 + (score - 0.80) * 0.3)).when(method == "fuzzy", score * 0.95).otherwise(F.lit(0.0))
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), 3)

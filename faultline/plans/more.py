@@ -39,7 +39,7 @@ def _cascade(mentions: str, master: str, kind: str) -> str:
     free = "NOT (len(m.nums) > 0 AND len(s.nums) > 0 AND NOT list_has_any(m.nums, s.nums))"
     ratio = "least(length(m.norm), length(s.norm))::DOUBLE / greatest(length(m.norm), length(s.norm))"
     third = {
-        "SUPPLIER": f"SELECT mention, 3, round(0.90::DOUBLE * ({ratio}), 3), s.id, 'alias' FROM m JOIN s ON list_has_any(string_split(m.norm, ' '), string_split(s.norm, ' ')) AND m.norm <> '' AND length(m.norm) > 3 AND (contains(s.norm, m.norm) OR contains(m.norm, s.norm)) AND {free} AND {ratio} >= 0.80",
+        "SUPPLIER": f"SELECT mention, 3, round(0.90::DOUBLE * ({ratio}), 3), s.id, 'alias' FROM m JOIN s ON s.norm <> '' AND length(m.norm) > 3 AND (contains(s.norm, m.norm) OR contains(m.norm, s.norm)) AND {free} AND {ratio} >= 0.80",
         "LOCATION": f"SELECT mention, 3, 0.92::DOUBLE, s.id, 'alias' FROM m JOIN s ON s.alias <> '' AND {_case('m.low', linking.COUNTRIES, 'm.norm')} = s.alias",
         "PRODUCT": "SELECT mention, 3, 0.88::DOUBLE, s.id, 'alias' FROM m JOIN s ON s.alias <> '' AND m.norm = s.alias",
     }[kind]
@@ -53,14 +53,14 @@ def _cascade(mentions: str, master: str, kind: str) -> str:
       FROM m LEFT JOIN b ON m.mention = b.mention AND rn = 1)"""
 
 
-_SUP_MENTIONS = "SELECT CASE WHEN ordinal % 3 = 0 THEN upper(supplier_name) WHEN ordinal % 3 = 1 THEN concat(supplier_name, ' Ltd.') ELSE concat('Nobody ', supplier_name) END AS mention FROM suppliers UNION ALL SELECT concat('9', supplier_name, ' x') FROM suppliers UNION ALL SELECT lower(supplier_id) FROM suppliers"
+_SUP_MENTIONS = "SELECT CASE WHEN ordinal % 3 = 0 THEN upper(supplier_name) WHEN ordinal % 3 = 1 THEN concat(supplier_name, ' Ltd.') ELSE concat('Nobody ', supplier_name) END AS mention FROM suppliers UNION ALL SELECT concat('9', supplier_name, ' x') FROM suppliers UNION ALL SELECT lower(supplier_id) FROM suppliers UNION ALL SELECT concat(supplier_name, 's') FROM suppliers"
 _SUP = _cascade(_SUP_MENTIONS, "SELECT supplier_id AS id, supplier_name AS name FROM suppliers", "SUPPLIER")
 
 
 def _suppliers(k: Catalog) -> DataFrame:
     s = k.view("suppliers")
     odd = F.when(F.col("ordinal") % 3 == 0, F.upper("supplier_name")).when(F.col("ordinal") % 3 == 1, F.concat("supplier_name", F.lit(" Ltd."))).otherwise(F.concat(F.lit("Nobody "), "supplier_name"))
-    m = s.select(odd.alias("mention")).unionByName(s.select(F.concat(F.lit("9"), "supplier_name", F.lit(" x")).alias("mention"))).unionByName(s.select(F.lower("supplier_id").alias("mention")))
+    m = s.select(odd.alias("mention")).unionByName(s.select(F.concat(F.lit("9"), "supplier_name", F.lit(" x")).alias("mention"))).unionByName(s.select(F.lower("supplier_id").alias("mention"))).unionByName(s.select(F.concat("supplier_name", F.lit("s")).alias("mention")))
     return linking.link(m, s.select(F.col("supplier_id").alias("id"), F.col("supplier_name").alias("name")), "SUPPLIER", fuzzy=False)
 
 

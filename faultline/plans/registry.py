@@ -278,10 +278,10 @@ def combined_alerts(k):
     return _alert_input(k).select("supplier_id", "location_id", "severity", norm.alias("norm"), score.alias("score"), band.alias("band"), reasons.alias("reasons"))
 
 
-@query(_RISK + ", g AS (SELECT supplier_id, location_id, severity, unnest(['severity','exposure','supplier','product','dependency','single']) AS factor, unnest([f_severity, f_exposure, f_supplier, f_product, f_dependency, f_single]) AS value FROM risk) SELECT *, CASE WHEN value >= 0.75 THEN 'high' WHEN value >= 0.40 THEN 'moderate' ELSE 'low' END AS level FROM g")
+@query(_RISK + ", g AS (SELECT supplier_id, location_id, severity, unnest(['severity','exposure','supplier','product','dependency','single']) AS factor, unnest([f_severity, f_exposure, f_supplier, f_product, f_dependency, f_single]) AS value FROM risk) SELECT *, CASE WHEN factor = 'single' THEN CASE WHEN value > 0.5 THEN 'critical' ELSE 'low' END WHEN value >= 0.75 THEN 'high' WHEN value >= 0.40 THEN 'moderate' ELSE 'low' END AS level FROM g")
 def risk_factors(k):
     s = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(f"f_{n}").alias("value")) for n in c.RISK_WEIGHTS]))
-    return _risk(k).select("supplier_id", "location_id", "severity", s.alias("s")).select("supplier_id", "location_id", "severity", "s.*").withColumn("level", c.level(F.col("value")))
+    return _risk(k).select("supplier_id", "location_id", "severity", s.alias("s")).select("supplier_id", "location_id", "severity", "s.*").withColumn("level", F.when(F.col("factor") == "single", c.single_level(F.col("value"))).otherwise(c.level(F.col("value"))))
 
 
 # --- graph

@@ -50,11 +50,21 @@ def test_alerts_of_bare_records(spark):
     got = {x.supplier_id: x for x in alerts.generate_alerts(rows).collect()}
     a = got["SUP1"]
     assert (a.alert_id, a.combined_risk, a.risk_band, a.graphsage_risk) == ("ALT-E1-SUP1", 0.8, "CRITICAL", 0.8)
-    assert a.reasons.startswith("High-severity disruption; Moderate geographic proximity to event") and "Single" not in a.reasons
+    assert a.reasons.startswith("High-severity disruption; Moderate geographic proximity to event") and a.reasons.endswith("Single-source sole supplier vulnerability"), "any text counts as true, also NO"
     assert a.explanation.splitlines()[:5] == ["Supplier:", "SUP1 (Supplier SUP1)", "", "Risk:", "CRITICAL"]
     assert (got["SUP2"].combined_risk, got["SUP2"].event_type) == (0.5, "Operational Disruption")
 
 
+def test_truthy_flags_and_missing_ids(spark):
+    cases = (("boolean", [True, False, None]), ("double", [1.0, 0.0, None]), ("int", [2, 0, None]), ("string", ["NO", "", None]))
+    for kind, values in cases:
+        rows = spark.createDataFrame([(f"S{i}", v) for i, v in enumerate(values)], f"supplier_id string, single_source {kind}")
+        got = {r.supplier_id: "Single-source" in r.reasons for r in alerts.generate_alerts(rows).collect()}
+        assert got == {"S0": True, "S1": False, "S2": False}, kind
+    bare = alerts.generate_alerts(spark.range(7, numPartitions=3).selectExpr("0.9 as deterministic_risk"), F.lit("2024-01-01"))
+    assert sorted(r.alert_id for r in bare.collect()) == [f"ALT-EVT_{i:05d}-SUP_{i:05d}" for i in range(7)] and "created_at" in bare.columns
+
+
 def test_unified_alerts(spark):
     old = spark.createDataFrame([("A1", "high", 72.0, 60.0, 55.0)], "alert_id string, combined_risk_level string, combined_risk_score double, deterministic_risk double, graph_risk_score double")
     a = alerts.unified(old).first()
