@@ -177,6 +177,8 @@ def link_report(links: DataFrame) -> DataFrame:
     """One row: links by method, mean confidence of all, and the unresolved share as text."""
     lost = F.count_if((F.col("linked_id") == "UNKNOWN") | (F.col("match_method") == "unresolved"))
     by = [F.count_if(F.col("match_method") == m).alias(f"{m}_matches") for m in ("exact", "normalized", "alias", "fuzzy")]
-    mean = F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4)
+    # Confidences have three digits: whole thousandths give a mean that doesn't depend on the order of the rows.
+    n = F.count("confidence")
+    mean = F.when(n > 0, F.expr("(20 * sum(cast(round(confidence * 1000) as bigint)) + count(confidence)) div (2 * count(confidence))") / 10000).otherwise(0.0)
     share = F.when(F.count("*") > 0, F.round(100.0 * lost / F.greatest(F.count("*"), F.lit(1)), 1)).otherwise(0.0)
     return links.agg(F.count("*").alias("total_entities"), *by, lost.alias("unresolved_entities"), mean.alias("average_confidence"), F.format_string("%.1f%%", share).alias("unresolved_percentage"))

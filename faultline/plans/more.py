@@ -72,7 +72,7 @@ def link_suppliers(k):
 @query(
     _SUP
     + """ SELECT count(*) AS total_entities, count(*) FILTER (match_method = 'exact') AS exact_matches, count(*) FILTER (match_method = 'normalized') AS normalized_matches, count(*) FILTER (match_method = 'alias') AS alias_matches,
-    count(*) FILTER (match_method = 'fuzzy') AS fuzzy_matches, count(*) FILTER (match_method = 'unresolved') AS unresolved_entities, round(avg(confidence), 4) AS average_confidence, printf('%.1f%%', round(100.0::DOUBLE * count(*) FILTER (match_method = 'unresolved') / count(*), 1)) AS unresolved_percentage FROM links"""
+    count(*) FILTER (match_method = 'fuzzy') AS fuzzy_matches, count(*) FILTER (match_method = 'unresolved') AS unresolved_entities, (20 * sum(round(confidence * 1000)::BIGINT) + count(*))::BIGINT // (2 * count(*)) / 10000.0::DOUBLE AS average_confidence, printf('%.1f%%', round(100.0::DOUBLE * count(*) FILTER (match_method = 'unresolved') / count(*), 1)) AS unresolved_percentage FROM links"""
 )
 def link_quality(k):
     return linking.link_report(_suppliers(k))
