@@ -95,10 +95,11 @@ def extract_events(articles: DataFrame, id_col: str = "article_id", text_col: st
     rules = sorted(((-len(t), k, i, t) for k, r in enumerate(lx.EVENT_RULES) for i, t in enumerate(r[3])))
     place = {t: n for n, (*_, t) in reversed(list(enumerate(rules)))}
     text = c.clean_text(F.col(text_col))
-    a = articles.select(F.col(id_col), text.alias("_text")).where(F.length("_text") >= 5)
+    # One-element arrays are exploded so that the filters stay above the long expressions and don't repeat them.
+    a = articles.select(F.col(id_col), F.explode(F.array(text)).alias("_text")).where(F.length("_text") >= 5)
     ranks = F.create_map(*[F.lit(x) for t, n in place.items() for x in (t, n)])
     found = F.array_min(F.transform(c.whole_words(F.lower("_text"), tuple(place)), lambda t: F.element_at(ranks, t)))
-    a = a.withColumn("_n", found).where("_n is not null")
+    a = a.select("*", F.explode(F.array(found)).alias("_n")).where("_n is not null")
     a = a.withColumn("_w", F.element_at(F.array(*[F.struct(F.lit(-n).alias("n"), F.lit(k).alias("k"), F.lit(t).alias("t")) for n, k, _, t in rules]), F.col("_n") + 1))
     pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in lx.EVENT_RULES]), F.col("_w.k") + 1)
     at = F.filter(sentences(F.col("_text")), lambda s: F.regexp_like(F.lower(s), F.concat(F.lit(r"\b"), F.col("_w.t"), F.lit(r"\b"))))
