@@ -307,20 +307,20 @@ def _nodes(k: Catalog, e: DataFrame) -> DataFrame:
 
 @query(_EDGES + f", {_NODES}, i AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT src, count(*) AS n FROM edges GROUP BY 1) SELECT node_id, COALESCE(i.n, 0) AS in_degree, COALESCE(o.n, 0) AS out_degree FROM nodes LEFT JOIN i ON i.dst = node_id LEFT JOIN o ON o.src = node_id")
 def degrees(k):
-    e = _edges(k)
+    e = connect.cut(_edges(k))
     return op.degrees(e, _nodes(k, e))
 
 
 @query(_EDGES + f", {_NODES} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
 def isolated_nodes(k):
-    e = _edges(k)
+    e = connect.cut(_edges(k))
     ends = e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct()
     return _nodes(k, e).join(ends, "node_id", "left_anti")
 
 
 @query(_EDGES + f", {_NODES}, c AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m) SELECT n AS num_nodes, m AS num_edges, round(m / (n * (n - 1)), 6)::DOUBLE AS density FROM c")
 def density(k):
-    e = _edges(k)
+    e = connect.cut(_edges(k))
     return op.density(e, _nodes(k, e))
 
 
@@ -331,7 +331,7 @@ def density(k):
     SELECT degree, min(n) AS least, max(n) AS most, round(avg(n), 3) AS mean, round(median(n), 3)::DOUBLE AS median FROM u GROUP BY 1"""
 )
 def degree_stats(k):
-    e = _edges(k)
+    e = connect.cut(_edges(k))
     return op.degree_stats(e, _nodes(k, e))
 
 
@@ -358,17 +358,17 @@ def _shock(k: Catalog) -> DataFrame:
 )
 def shock_propagation(k):
     """Two fixed rounds, as its SQL has them; ``shock_settled`` runs until the risks settle."""
-    return op.propagate(_edges(k), _shock(k), rounds=2)
+    return op.propagate(connect.cut(_edges(k)), _shock(k), rounds=2)
 
 
 @query()
 def shock_settled(k):
-    return op.propagate(_edges(k), _shock(k))
+    return op.propagate(connect.cut(_edges(k)), _shock(k))
 
 
 @query()
 def pagerank_rounds(k):
-    return op.pagerank(_edges(k))
+    return op.pagerank(connect.cut(_edges(k)))
 
 
 @query(_EDGES + " SELECT src, dst, weight, rank FROM (SELECT src, dst, weight, CAST(row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS INT) AS rank FROM edges) WHERE rank <= 3")
@@ -426,12 +426,12 @@ def entity_spans(k):
 
 @query()
 def graph_weak_components(k):
-    return connect.weak_components(_edges(k))
+    return connect.weak_components(connect.cut(_edges(k)))
 
 
 @query()
 def graph_strong_components(k):
-    return connect.strong_components(_edges(k))
+    return connect.strong_components(connect.cut(_edges(k)))
 
 
 from faultline.plans import feeds, models, more, network  # noqa: E402, F401  (they add their queries to the ones here)
