@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,6 +125,21 @@ def level(value: Column) -> Column:
     return F.when(value >= 0.75, "high").when(value >= 0.40, "moderate").otherwise("low")
 
 
+def safe_float(value: Column, default: float = 0.0) -> Column:
+    """The value as a number; null, what doesn't read as one, and what isn't finite are the default."""
+    n = value.cast("string").try_cast("double")
+    return F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), F.lit(default)).otherwise(n)
+
+
+def checked_weights(weights: Sequence[float], signed: bool = True) -> tuple[float, ...]:
+    """The weights, which must sum to 1 within a thousandth and, unless ``signed``, be 0 or more; else an error."""
+    if not 0.999 <= sum(weights) <= 1.001:
+        raise ValueError(f"weights must sum to 1, not to {sum(weights):.4f}")
+    if not signed and min(weights) < 0:
+        raise ValueError("weights must not be negative")
+    return tuple(weights)
+
+
 def single_level(value: Column) -> Column:
     """A single source is critical or of no weight."""
     return F.when(value > 0.5, "critical").otherwise("low")

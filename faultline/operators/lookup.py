@@ -73,3 +73,15 @@ def gate(df: DataFrame, relevant: Column) -> DataFrame:
 def latest_first(df: DataFrame, *cols: str) -> list[Column]:
     """The order of served pages: status, then the given columns, all descending, then the id if there is one."""
     return [F.col(x).desc() for x in ("data_status", *cols)] + [F.col(x) for x in df.columns if x in ("alert_id", "article_id", "event_id")][:1]
+
+
+def options(df: DataFrame, *cols: str) -> DataFrame:
+    """(field, value): the distinct values of each column as text, to choose from; null and empty ones are none."""
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).cast("string").alias("value")) for x in cols]))
+    return df.select(each.alias("o")).select("o.*").where("value <> ''").distinct()
+
+
+def labelled(features: DataFrame, labels: DataFrame, key: str = "supplier_id") -> DataFrame:
+    """The features of every labelled entity with its deterministic_risk; ``labels`` are by entity_id, or else by the key."""
+    by = "entity_id" if "entity_id" in labels.columns else key
+    return features.join(labels.select(F.col(by).alias(key), "deterministic_risk"), key)

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators import builder, exposure, gnn, linking, training
+from faultline.operators import builder, exposure, gnn, linking, lookup, training
 from faultline.operators import engine as op
 from faultline.operators.connect import cut
 from faultline.plans import models, more, registry
@@ -190,3 +190,18 @@ def live_alerts(k):
     articles = n.select("article_id", F.lit("").alias("title"), "content", "url", "source_name", F.lit("").alias("published_at"), F.lit("SYNTHETIC_DEMO").alias("data_status"))
     _, word = op.keyword_relevance(F.coalesce("content", F.lit("")))
     return live.combined_alerts(live.assess(articles.where(word), masters))
+
+
+# --- lists and tables for pages and training
+
+
+@query("SELECT DISTINCT field, value FROM (SELECT unnest(['country', 'criticality', 'tier']) AS field, unnest([country, criticality, CAST(tier AS VARCHAR)]) AS value FROM suppliers) WHERE value <> ''")
+def option_lists(k):
+    return lookup.options(k.view("suppliers"), "country", "criticality", "tier")
+
+
+@query(registry._RISK + ", r AS (SELECT supplier_id, max(risk_norm) AS deterministic_risk FROM risk GROUP BY 1) SELECT s.supplier_id, tier, s.criticality, deterministic_risk FROM suppliers s JOIN r ON s.supplier_id = r.supplier_id")
+def features_with_labels(k):
+    """Supplier features with the greatest risk of each as its label."""
+    risk = registry._risk(k).groupBy(F.col("supplier_id").alias("entity_id")).agg(F.max("risk_norm").alias("deterministic_risk"))
+    return lookup.labelled(k.view("suppliers").select("supplier_id", "tier", "criticality"), risk)
