@@ -434,4 +434,4 @@ def graph_strong_components(k):
     return connect.strong_components(connect.cut(_edges(k)))
 
 
-from faultline.plans import feeds, models, more, network  # noqa: E402, F401  (they add their queries to the ones here)
+from faultline.plans import audits, feeds, models, more, network  # noqa: E402, F401  (they add their queries to the ones here)
