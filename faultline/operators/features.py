@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import columns as c
+from faultline.operators.connect import cut
 
 # Kinds of nodes and names of the features, in their order.
 KINDS = ("SUPPLIER", "PRODUCT", "LOCATION", "FACILITY", "EVENT", "NEWS")
@@ -29,13 +30,13 @@ def seeds(labels: DataFrame) -> DataFrame:
     return labels.select(F.col(key).cast("string").alias("node_id"), n.alias("n")).where("node_id is not null and n > -1e308").groupBy("node_id").agg(F.max(F.when(F.col("n") > 1, F.col("n") / 100).otherwise(F.col("n"))).alias("seed"))
 
 
-def features16(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def features16(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None, pruned: bool = False) -> DataFrame:
     """(node_id, node_type, x, y) for ``nodes(node_id, ...)`` and ``edges(source, target)``: the FEATURES as an array, and the seed or 0.
 
     Missing or unreadable values have defaults: severity 0 (above 1 it is of 5), exposure 0.20, criticality 0.50 of a
     node's own kind and else 0, dependency 0.50, risk 0.30 unless there is a seed. Every edge row between known nodes
     counts for the degrees, which are shares of the greatest total. Nodes without an id are left out; a table without
-    kinds holds suppliers. Degrees are sums by end, so that a hub is one row after the first aggregation.
+    kinds holds suppliers; ``pruned`` says that every edge is between known nodes. Degrees are sums by end, so that a hub is one row after the first aggregation.
     """
     have = set(nodes.columns)
     text = lambda x, default: F.coalesce(F.col(x).cast("string"), F.lit("")) if x in have else F.lit(default)
@@ -47,9 +48,9 @@ def features16(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = No
 
     ids = nodes.select(F.col("node_id").cast("string").alias("_id")).where("_id is not null").distinct()
     ends = edges.select(F.trim(F.col("source").cast("string")).alias("source"), F.trim(F.col("target").cast("string")).alias("target"))
-    ends = ends.join(ids.withColumnRenamed("_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("_id", "target"), "target", "left_semi")
+    ends = ends if pruned else ends.join(ids.withColumnRenamed("_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("_id", "target"), "target", "left_semi")
     one = F.array(F.struct(F.col("source").alias("_id"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("target").alias("_id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-    degree = ends.select(F.explode(one).alias("s")).groupBy("s._id").agg(F.sum("s.out").alias("_out"), F.sum("s.into").alias("_in"))
+    degree = cut(ends.select(F.explode(one).alias("s")).groupBy("s._id").agg(F.sum("s.out").alias("_out"), F.sum("s.into").alias("_in")))
     top = degree.agg(F.greatest(F.lit(1), F.coalesce(F.max(F.col("_out") + F.col("_in")), F.lit(1))).alias("_top"))
     kind = F.trim(F.upper(text("node_type", "SUPPLIER")))
     own = {"supplier": F.when(kind == "SUPPLIER", 0.50).otherwise(0.0), "product": F.when(kind == "PRODUCT", 0.50).otherwise(0.0)}

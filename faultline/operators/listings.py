@@ -85,19 +85,23 @@ def by_id(df: DataFrame, column: str, value: str, *order: str) -> DataFrame:
 SHOWN = {"NEWS": 3, "EVENT": 5, "LOCATION": 5, "SUPPLIER": 10, "PRODUCT": 10}
 
 
+def shown_nodes(nodes: DataFrame, shown: dict[str, int] | None = SHOWN, most: int = 35) -> DataFrame:
+    """The nodes of ``display_graph``, which don't depend on the edges."""
+    ids = nodes.where("node_id is not null")
+    if shown is None:
+        return ids.orderBy("node_id").limit(most)
+    place = F.row_number().over(Window.partitionBy("node_type").orderBy("node_id"))
+    bound = F.create_map(*[F.lit(x) for t, n in shown.items() for x in (t, n)])
+    return ids.where(F.col("node_type").isin(*shown)).withColumn("_n", place).where(F.col("_n") <= max(shown.values())).where(F.col("_n") <= F.element_at(bound, F.col("node_type"))).drop("_n")
+
+
 def display_graph(nodes: DataFrame, edges: DataFrame, shown: dict[str, int] | None = SHOWN, most: int = 35) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the first ``shown`` nodes of each type by id, or of the first ``most`` nodes where ``shown`` is None; edges are those among them.
 
     The numbers are the feature. Spark keeps that many rows of each partition before it exchanges any. No edge is made
     up where the nodes have none between them. Types that aren't named are not shown.
     """
-    ids = nodes.where("node_id is not null")
-    if shown is None:
-        some = ids.orderBy("node_id").limit(most)
-    else:
-        place = F.row_number().over(Window.partitionBy("node_type").orderBy("node_id"))
-        bound = F.create_map(*[F.lit(x) for t, n in shown.items() for x in (t, n)])
-        some = ids.where(F.col("node_type").isin(*shown)).withColumn("_n", place).where(F.col("_n") <= max(shown.values())).where(F.col("_n") <= F.element_at(bound, F.col("node_type"))).drop("_n")
+    some = shown_nodes(nodes, shown, most)
     bounded = F.broadcast(some.select("node_id"))  # at most the numbers above
     inner = edges.join(bounded.withColumnRenamed("node_id", "source"), "source", "left_semi").join(bounded.withColumnRenamed("node_id", "target"), "target", "left_semi")
     return some, inner.select(*edges.columns)

@@ -108,3 +108,14 @@ def test_empty_tables(tables):
     assert g.nodes.count() == g.edges.count() == g.removed.count() == 0
     at, rel = builder.encode(g)
     assert at.count() == rel.count() == 0
+
+
+def test_nodes_alone_and_ids_that_repeat(tables, monkeypatch):
+    """Nodes are made without the edges, and only ids that stand in several rows are merged attribute by attribute."""
+    names = ("suppliers", "products", "locations", "supplier_locations", "news", "events")
+    tables = tables[1]
+    g = builder.build(**tables)
+    monkeypatch.setattr(builder, "_edges", lambda *a, **b: pytest.fail("edges are not needed"))
+    alone = builder.nodes_of(**{k: v for k, v in tables.items() if k in (*names, "nodes")})
+    assert sorted(map(str, alone.collect())) == sorted(map(str, g.nodes.collect()))
+    assert alone.count() == alone.select("node_id").distinct().count()
