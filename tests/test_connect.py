@@ -121,3 +121,20 @@ def test_spans_of_news(spark, tmp_path):
     got = [tuple(r) for r in registry.queries()["entity_spans"](spark, str(tmp_path)).where("entity_type = 'CITY'").drop("normalized_entity").collect()]
     at = len("Celebrity gossip and sports. ") + text.index("Shanghai")
     assert got == [("ART5", at, at + 8, "Shanghai", "CITY", 0.93)]
+
+
+def test_ego_network_works_out_its_edges_once(spark):
+    """Each row passes once, however often the edges are used; the result is that of a walk."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    pairs = [("a", "b"), ("c", "b"), ("c", "d"), ("d", "e"), ("x", "y")]
+    rows = spark.createDataFrame(pairs, "s string, dst string").repartition(1).select(noted.asNondeterministic()("s").alias("src"), "dst")
+    got = sorted(tuple(r) for r in op.ego_network(rows, "a", 2).collect())
+    assert got == [("a", "b"), ("c", "b")] and seen.value <= 2 * len(pairs)
