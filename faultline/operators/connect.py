@@ -5,19 +5,15 @@ Every round is checkpointed to the shared folder; one count a round reaches the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.operators import tiles
+from faultline.operators.storage import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names; one of its own only on one machine, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or "/tmp/checkpoints")
-    return df.checkpoint()
+#: Lanes that share out the nodes of one component where its name is joined.
+LANES = 8
 
 
 def greedy_kept(rows: DataFrame, similar: DataFrame) -> DataFrame:
@@ -62,18 +58,75 @@ def _nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
 
 
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node_id, component): the least node that edges reach in either direction."""
-    e = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
-    return _spread(cut(_nodes(edges, nodes).select("node_id", F.col("node_id").alias("label"))), e).withColumnRenamed("label", "component")
+    """(node_id, component): the least node that edges reach in either direction.
+
+    Nodes are numbered in their order; a tile of edges settles the least number of each of its nodes by itself, and
+    rounds go on until the tiles agree.
+    """
+    index, t = _tiles(edges, nodes)
+    label = cut(index.select(F.col("idx").alias("node_id"), F.col("idx").alias("label")))
+    while True:
+        found = tiles.parts(t, label, _settle, "long").groupBy("node_id").agg(F.min("v").alias("new"))
+        step = cut(label.join(found, "node_id", "left").select("node_id", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+        label = step.select("node_id", "label")
+        if step.where("moved").isEmpty():
+            break
+    own = label.select(F.col("node_id").alias("idx"), "label").join(index, "idx")
+    own = cut(own.select("node_id", "label", F.col("idx").alias("at"), F.pmod(F.xxhash64("node_id"), F.lit(LANES).cast("long")).alias("lane")))
+    # the name of a component of most nodes is there in several lanes, so that no task has them all
+    names = own.where("label <> at").select(F.col("label").alias("idx")).distinct().join(index, "idx").select(F.col("idx").alias("label"), F.col("node_id").alias("component"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))).alias("lane"))
+    return own.where("label = at").select("node_id", F.col("node_id").alias("component")).unionByName(own.where("label <> at").join(names, ["label", "lane"]).select("node_id", "component"))
+
+
+def _tiles(edges: DataFrame, nodes: DataFrame | None) -> tuple[DataFrame, tiles.Tiles]:
+    index = tiles.numbered(_nodes(edges, nodes))
+    return index, tiles.tiled(edges.where("src <> dst").select(F.col("dst").alias("node_id"), F.col("src").alias("source")), index)
+
+
+def _settle(cols: list[np.ndarray], a: np.ndarray, b: np.ndarray, _: np.ndarray) -> np.ndarray:
+    """The least label that each place of a tile reaches within it."""
+    label = cols[0].copy()
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        if (low == label[a]).all() and (low == label[b]).all():
+            break
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+    return label
+
+
+def _ends(cols: list[np.ndarray], a: np.ndarray, b: np.ndarray, _: np.ndarray) -> np.ndarray:
+    """Whether an edge comes in, and whether one goes out."""
+    n = len(cols[0])
+    return np.c_[np.bincount(a, minlength=n), np.bincount(b, minlength=n)].astype(float)
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node_id, component): nodes that reach each other share the least of them.
 
-    Nodes without an edge in or out are cut away first, round by round; what is left is coloured by the least
-    node that reaches it, and each colour's root collects the nodes of its colour that reach back.
+    Nodes without an edge in or out among those that are left are cut away first, round by round, in tiles of edges:
+    they are components of their own. What is left is coloured by the least node that reaches it, and each colour's
+    root collects the nodes of its colour that reach back.
     """
-    left, e = cut(_nodes(edges, nodes)), cut(edges.select("src", "dst").where("src <> dst").distinct())
+    index, t = _tiles(edges, nodes)
+    left = index.select(F.col("idx").alias("node_id"), F.lit(True).alias("_in"))
+    many = left.count()
+    while many:
+        left = cut(tiles.summed(t, left, _ends, 2).where("v[0] > 0 and v[1] > 0").select("node_id", F.lit(True).alias("_in")))
+        before, many = many, left.count()
+        if many == before:
+            break
+    if not many:
+        return index.select("node_id", F.col("node_id").alias("component"))
+    marked = cut(index.join(left.withColumnRenamed("node_id", "idx"), "idx", "left").select("node_id", F.col("_in").isNotNull().alias("cyclic")))
+    single = marked.where("not cyclic").select("node_id", F.col("node_id").alias("component"))
+    left = marked.where("cyclic").select("node_id")
+    e = edges.select("src", "dst").where("src <> dst").join(left.withColumnRenamed("node_id", "src"), "src", "left_semi").join(left.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    return single.unionByName(_cyclic(left, cut(e.distinct())))
+
+
+def _cyclic(left: DataFrame, e: DataFrame) -> DataFrame:
+    """The components of nodes that mostly lie on circles; ``e`` has every edge among them once."""
     done = []
     while not left.isEmpty():
         inner = e.select(F.col("src").alias("node_id")).intersect(e.select(F.col("dst").alias("node_id")))
@@ -94,7 +147,7 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
         out = done[-1].select("node_id")
         left = cut(left.join(out, "node_id", "left_anti"))
         e = cut(e.join(out.withColumnRenamed("node_id", "src"), "src", "left_anti").join(out.withColumnRenamed("node_id", "dst"), "dst", "left_anti"))
-    result = done[0] if done else _nodes(edges, nodes).select("node_id", F.col("node_id").alias("component"))
+    result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
     return result
