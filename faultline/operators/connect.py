@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators import tiles
+from faultline.operators.blocks import Block, Box, graph
 from faultline.operators.storage import cut
 
 #: Lanes that share out the nodes of one component where its name is joined.
@@ -60,17 +61,45 @@ def _nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node_id, component): the least node that edges reach in either direction.
 
-    Nodes are numbered in their order; a tile of edges settles the least number of each of its nodes by itself, and
-    rounds go on until the tiles agree.
+    Nodes are numbered in their order; a block of edges (``blocks.py``) knows which of its own and far nodes it joins,
+    and rounds pass least numbers between blocks, both ways, until they agree.
     """
-    index, t = _tiles(edges, nodes)
-    label = cut(index.select(F.col("idx").alias("node_id"), F.col("idx").alias("label")))
+    index = tiles.numbered(_nodes(edges, nodes))
+    g = graph(index.select("node_id"), edges.where("src <> dst").select(F.col("dst").alias("node_id"), F.col("src").alias("source")), index)
+
+    def told(state: dict) -> list[tuple[str, np.ndarray]]:
+        return [("far", state["own"][:, None]), ("back", state["far"][:, None])]
+
+    def begin(block: Block, state: dict, box: Box) -> list[tuple[str, np.ndarray]]:
+        at = block.size + np.arange(block.far)
+        if block.number in block.groups:  # far nodes of the block itself
+            lo, hi = block.groups[block.number]
+            at[lo:hi] = block.asked[block.number]
+        both = np.unique(np.stack([block.a, at[block.b]]), axis=1)
+        state["joined"] = _settle(np.arange(block.size + block.far), both[0], both[1])[np.r_[np.arange(block.size), at]]
+        state |= {"own": block.cols["idx"].astype(np.int64), "far": np.full(block.far, np.iinfo(np.int64).max)}
+        return told(state)
+
+    def move(block: Block, state: dict, box: Box) -> list[tuple[str, np.ndarray]]:
+        own = state["own"].copy()
+        for name, at, rows in box.came:
+            if name == "back":
+                own[block.asked[at]] = np.minimum(own[block.asked[at]], rows[:, 0])
+        far = box.far("far", 1, np.int64)[:, 0]
+        low = np.full(block.size + block.far, np.iinfo(np.int64).max)
+        np.minimum.at(low, state["joined"], np.r_[own, far])
+        low = low[state["joined"]]
+        state["moved"] = bool((low[: block.size] < state["own"]).any() or (low[block.size :] < far).any())
+        state["own"], state["far"] = low[: block.size], low[block.size :]
+        return told(state)
+
+    sent = g.step([], begin)
     while True:
-        found = tiles.parts(t, label, _settle, "long").groupBy("node_id").agg(F.min("v").alias("new"))
-        step = cut(label.join(found, "node_id", "left").select("node_id", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
-        label = step.select("node_id", "label")
-        if step.where("moved").isEmpty():
+        sent = g.step([sent], move)
+        if not any(g.each([sent], lambda block, state, box: state["moved"])):
             break
+    label = g.table(edges.sparkSession, [sent], lambda block, state, box: state["own"], "long").select(F.col("idx").alias("node_id"), F.col("value").alias("label"))
+    g.free()
     own = label.select(F.col("node_id").alias("idx"), "label").join(index, "idx")
     own = cut(own.select("node_id", "label", F.col("idx").alias("at"), F.pmod(F.xxhash64("node_id"), F.lit(LANES).cast("long")).alias("lane")))
     # the name of a component of most nodes is there in several lanes, so that no task has them all
@@ -78,20 +107,17 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
     return own.where("label = at").select("node_id", F.col("node_id").alias("component")).unionByName(own.where("label <> at").join(names, ["label", "lane"]).select("node_id", "component"))
 
 
-def _tiles(edges: DataFrame, nodes: DataFrame | None) -> tuple[DataFrame, tiles.Tiles]:
-    index = tiles.numbered(_nodes(edges, nodes))
-    return index, tiles.tiled(edges.where("src <> dst").select(F.col("dst").alias("node_id"), F.col("src").alias("source")), index)
-
-
-def _settle(cols: list[np.ndarray], a: np.ndarray, b: np.ndarray, _: np.ndarray) -> np.ndarray:
-    """The least label that each place of a tile reaches within it."""
-    label = cols[0].copy()
+def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least label that each place reaches; labels are places, and each round follows them on to their own."""
     while len(a):
         low = np.minimum(label[a], label[b])
         if (low == label[a]).all() and (low == label[b]).all():
             break
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
         np.minimum.at(label, a, low)
         np.minimum.at(label, b, low)
+        label = label[label]
     return label
 
 
